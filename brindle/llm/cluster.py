@@ -1,0 +1,68 @@
+"""Lineage cutting and connected components, shared by the operators here."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_fallback: list[str] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` computed once and read back from the folder in spark.checkpoint.dir.
+
+    That folder is shared by driver and executors, so a lost executor loses
+    nothing.  Only where the setting is absent (tests on one machine) is a
+    temporary folder set.
+    """
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not _fallback:
+            _fallback.append(tempfile.mkdtemp(prefix="brindle-checkpoint-"))
+        context.setCheckpointDir(_fallback[0])
+    return df.checkpoint(eager=True)
+
+
+def parts(spark: SparkSession) -> int:
+    """Partitions for shuffles of what Python works on: the session's number."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component) of the undirected `edges` (u, v); component is the smallest node reachable.
+
+    Alternates large-star and small-star contraction: every round is two
+    group-wise minima with map-side combine and two joins, and the number of
+    rounds grows with the logarithm of the longest path.  Nothing but one
+    count a round reaches the driver.
+    """
+    edges = cut(
+        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    )
+    for _ in range(most_rounds):
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        # every node keeps its least neighbour, and passes it to its other ones
+        small = large.join(smallest, "u").select(
+            F.explode(
+                F.when(F.col("v") == F.col("m"), F.array(F.struct("u", F.col("m").alias("v")))).otherwise(
+                    F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+                )
+            ).alias("e")
+        ).select("e.u", "e.v")
+        after = cut(small.where("u <> v").distinct())
+        # done when the edges are stars around the smallest nodes
+        open_ = after.select("v").distinct().join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1)
+        twice = after.groupBy("u").count().where("count > 1").limit(1)
+        edges = after
+        if not open_.unionByName(twice.select("u").toDF("v")).take(1):
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
