@@ -20,6 +20,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_PLAIN = _LOWER.copy()
+_PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -99,6 +101,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def plain(data: np.ndarray) -> np.ndarray:
+    """The bytes with ASCII and Latin-1 letters in lower case and ASCII punctuation as spaces."""
+    out = _PLAIN[data]
+    led = np.zeros(len(data), bool)
+    led[1:] = data[:-1] == 0xC3
+    out[led & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
+    return out
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the lower-cased words; a function of a word's bytes alone."""
     if not len(starts):
