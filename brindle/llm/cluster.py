@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 _fallback: list[str] = []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine where that is unset (tests)."""
+    if not (set_ := spark.conf.get("spark.checkpoint.dir", None)) and not _fallback:
+        _fallback.append(tempfile.mkdtemp(prefix="brindle-checkpoint-"))
+    return set_ or _fallback[0]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and read back from the folder in spark.checkpoint.dir.
 
@@ -19,9 +26,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        if not _fallback:
-            _fallback.append(tempfile.mkdtemp(prefix="brindle-checkpoint-"))
-        context.setCheckpointDir(_fallback[0])
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -149,33 +149,37 @@ def _blocks(items: DataFrame, min_match: int, block_words: int) -> Iterator[_Ite
         yield _Items(ids, words, min_match)
 
 
+def _pairs(items: _Items, column: pa.Array, min_match: int, coverage: float, first_only: bool = False):
+    """(row, item, words, covered, tiles) of what is found; of each row one at most if `first_only`."""
+    for a, _, words, first in _plain_words(column) if len(items.ids) else ():
+        grams, begin = textkit.gram_hashes(words, first, min_match, whole_if_short=False)
+        at, low, high = items.near(grams)
+        doc = np.searchsorted(begin, at, "right") - 1
+        for d in np.unique(doc):
+            own = words[first[d] : first[d + 1]]
+            places = defaultdict(list)
+            for p, lo, hi in zip(at[doc == d] - begin[d], low[doc == d], high[doc == d]):
+                for o in np.unique(items.owner[lo:hi]):
+                    places[o].append(p)
+            for o, where in sorted(places.items()):
+                item = items.words[o]
+                # only words under seeds can be covered
+                if min(len(item), _reach(where, min_match)) < coverage * len(item):
+                    continue
+                tiles = tile(item, own[_around(where, min_match, len(own))], min_match)
+                covered = sum(n for _, _, n in tiles)
+                if covered >= coverage * len(item):
+                    yield a + int(d), o, len(item), covered, len(tiles)
+                    if first_only:
+                        break
+
+
 def _search(block, min_match: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: _Items = block.value
         for batch in batches:
-            ids, out = batch.column(0), []
-            for a, b, words, first in _plain_words(batch.column(1)) if len(items.ids) else ():
-                grams, begin = textkit.gram_hashes(words, first, min_match, whole_if_short=False)
-                at, low, high = items.near(grams)
-                if not len(at):
-                    continue
-                doc = np.searchsorted(begin, at, "right") - 1
-                for d in np.unique(doc):
-                    own = words[first[d] : first[d + 1]]
-                    places = defaultdict(list)
-                    for p, lo, hi in zip(at[doc == d] - begin[d], low[doc == d], high[doc == d]):
-                        for o in np.unique(items.owner[lo:hi]):
-                            places[o].append(p)
-                    for o, where in places.items():
-                        item = items.words[o]
-                        # each seed word can at most be covered once: too few seeds cannot reach the threshold
-                        if len(where) and min(len(item), _reach(where, min_match)) < coverage * len(item):
-                            continue
-                        near = _around(where, min_match, len(own))
-                        tiles = tile(item, own[near], min_match) if near is not None else []
-                        covered = sum(n for _, _, n in tiles)
-                        if covered >= coverage * len(item):
-                            out.append((ids[a + int(d)].as_py(), items.ids[o], len(item), covered, len(tiles), covered / len(item)))
+            ids = batch.column(0)
+            out = [(ids[r].as_py(), items.ids[o], n, c, t, c / n) for r, o, n, c, t in _pairs(items, batch.column(1), min_match, coverage)]
             columns = list(zip(*out)) if out else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays(
@@ -185,6 +189,29 @@ def _search(block, min_match: int, coverage: float):
     return run
 
 
+def decontaminate(
+    docs: DataFrame, items: DataFrame, min_match: int = 5, coverage: float = 0.5, block_words: int = BLOCK_WORDS,
+    text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of `docs`, with all their columns, that hold none of the items in the sense of `contaminated`.
+
+    Rows pass through one filter for each block of items; nothing is shuffled.
+    """
+    place = docs.columns.index(text_col)
+    for block in _blocks(items.select(F.col(item_id_col).cast("long"), F.col(item_text_col).cast("string")), min_match, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, sent=sent):
+            for batch in batches:
+                clean = np.ones(len(batch), bool)
+                for row, *_ in _pairs(sent.value, batch.column(place), min_match, coverage, first_only=True):
+                    clean[row] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def _reach(where: list[int], n: int) -> int:
     """Words of the text under seeds."""
     gaps = np.diff(where)
