@@ -1,0 +1 @@
+"""Analytics over corpora of text and source code as PySpark DataFrames."""
