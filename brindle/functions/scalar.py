@@ -60,9 +60,21 @@ def whole_word(pattern: str) -> str:
     return f"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
 
 
+def in_order(text: str) -> str:
+    """A pattern for the characters of `text` in order, the nearest one each time.
+
+    Between two of them stands whatever is not the second, taken for good, so
+    that a line without a match is given up without backtracking.
+    """
+    out = escape_regex(text[:1])
+    for c in text[1:]:
+        out += f"[^{escape_regex(c) if c not in '^-' else chr(92) + c}\\n]*+{escape_regex(c)}"
+    return out
+
+
 def subsequence(text: str) -> str:
-    """A pattern that matches the characters of `text` in order, anything between."""
-    return "(?is)" + ".*".join(escape_regex(c) for c in text)
+    """A pattern that matches the characters of `text` in order, anything between, in any case."""
+    return "(?i)" + in_order(text)
 
 
 def capitalize(s: Column) -> Column:

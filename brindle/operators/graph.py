@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import tempfile
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,46 +197,50 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame, scc: DataFrame | None = None, most_length: int | None = None, self_loops: bool = False) -> DataFrame:
-    """(component, length, cycle, severity): a shortest cycle through the smallest node of each component of several nodes.
+    """(component, length, cycle, severity, fix): a shortest cycle through the smallest node of each component of several nodes.
 
-    Components longer than `most_length` are reported with their size and
-    without a path.  A component is worked as one group of its inner edges.
+    All components are searched at once, level by level, and paths are read
+    back over the parents kept; no group is ever collected.  Components of more
+    than `most_length` nodes are reported with their size and without a path.
     """
     scc = strong_components(edges) if scc is None else scc
-    a, b = scc.toDF("src", "component"), scc.toDF("dst", "c2")
-    inner = edges.distinct().join(a, "src").join(b, "dst").where("component = c2 and src <> dst").select("component", "src", "dst")
+    kind = dict(scc.dtypes)["node"]
     sizes = scc.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
     small = sizes if most_length is None else sizes.where(F.col("members") <= most_length)
-    kind = dict(scc.dtypes)["node"]
-
-    def shortest(group: pd.DataFrame) -> pd.DataFrame:
-        start = group["component"].iloc[0]
-        following: dict = {}
-        for x, y in zip(group["src"], group["dst"]):
-            following.setdefault(x, []).append(y)
-        before, frontier = {}, [start]
-        while frontier:
-            new = []
-            for x in frontier:
-                for y in sorted(following.get(x, ())):
-                    if y == start:
-                        path = [x]
-                        while path[-1] != start:
-                            path.append(before[path[-1]])
-                        return pd.DataFrame({"component": [start], "length": [len(path)], "cycle": [path[::-1]]})
-                    if y not in before:
-                        before[y] = x
-                        new.append(y)
-            frontier = new
-        return pd.DataFrame({"component": [], "length": [], "cycle": []})
-
-    found = inner.join(small.select("component"), "component").groupBy("component").applyInPandas(shortest, f"component {kind}, length int, cycle array<{kind}>")
+    a, b = scc.toDF("src", "component"), scc.toDF("dst", "c2")
+    inner = _cut(
+        edges.distinct().join(a, "src").join(b, "dst").where("component = c2 and src <> dst").join(small.select("component"), "component").select("component", "src", "dst")
+    )
+    frontier = small.select("component", F.col("component").alias("node"))
+    seen = _cut(frontier.withColumn("parent", F.lit(None).cast(kind)))
+    frontier, closed = seen.select("component", "node"), None
+    while not frontier.isEmpty():
+        out = frontier.withColumnRenamed("node", "src").join(inner, ["component", "src"])
+        done = _cut(out.where("dst = component").groupBy("component").agg(F.min("src").alias("last")))
+        closed = done if closed is None else closed.unionByName(done)
+        new = out.join(done, "component", "left_anti").groupBy("component", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        new = _cut(new.join(seen, ["component", "node"], "left_anti"))
+        seen = _cut(seen.unionByName(new))
+        frontier = new.select("component", "node")
+    if closed is None:
+        paths = small.select("component", F.lit(0).alias("length"), F.array("component").alias("cycle")).limit(0)
+    else:
+        paths = closed.select("component", F.col("last").alias("at"), F.array("last").alias("cycle"))
+        while True:
+            paths = _cut(paths)
+            if paths.where("at <> component").isEmpty():
+                break
+            step = paths.join(seen.select("component", F.col("node").alias("at"), "parent"), ["component", "at"], "left")
+            paths = step.select(
+                "component", F.coalesce("parent", "at").alias("at"),
+                F.when(F.col("parent").isNull(), F.col("cycle")).otherwise(F.concat(F.array("parent"), F.col("cycle"))).alias("cycle"),
+            )
+        paths = paths.select("component", F.size("cycle").alias("length"), "cycle")
     if most_length is not None:
-        found = found.unionByName(sizes.where(F.col("members") > most_length).select("component", F.col("members").cast("int").alias("length"), F.lit(None).cast(f"array<{kind}>").alias("cycle")))
+        paths = paths.unionByName(sizes.where(F.col("members") > most_length).select("component", F.col("members").cast("int").alias("length"), F.lit(None).cast(f"array<{kind}>").alias("cycle")))
     if self_loops:
-        loops = edges.where("src = dst").select(F.col("src").alias("component"), F.lit(1).alias("length"), F.array("src").alias("cycle")).distinct()
-        found = found.unionByName(loops)
-    return found.withColumn("severity", cycle_severity(F.col("length"))).withColumn("fix", cycle_fix(F.col("length")))
+        paths = paths.unionByName(edges.where("src = dst").select(F.col("src").alias("component"), F.lit(1).alias("length"), F.array("src").alias("cycle")).distinct())
+    return paths.withColumn("severity", cycle_severity(F.col("length"))).withColumn("fix", cycle_fix(F.col("length")))
 
 
 def cycle_severity(length: Column) -> Column:

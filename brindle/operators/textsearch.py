@@ -33,7 +33,7 @@ class Query:
         if not self.text:
             return None
         if self.fuzzy:
-            p = ".*?".join(s.escape_regex(c) for c in self.text)
+            p = s.in_order(self.text)
         else:
             p = self.text if self.regex else s.escape_regex(self.text)
         if self.whole_word:
