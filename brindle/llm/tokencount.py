@@ -61,6 +61,7 @@ class PrefixCounter:
         self.split = regex.compile(_SPLIT)
         self.joins: dict[tuple[bytes, bytes], bool] = {}
         self.totals: dict[str, int] = {}
+        self.built: dict[bytes, bool] = {}
 
     def encode(self, data: bytes) -> list[bytes]:
         """The tokens of one pre-token, by merging the pair of lowest rank again and again."""
@@ -81,6 +82,11 @@ class PrefixCounter:
             self.joins[key] = self.encode(left + right) == [left, right]
         return self.joins[key]
 
+    def _built(self, token: bytes) -> bool:
+        if token not in self.built:
+            self.built[token] = self.encode(token) == [token]
+        return self.built[token]
+
     def piece(self, data: bytes) -> list[int]:
         """Token counts of the prefixes of 0, 1, ... bytes of one pre-token."""
         counts, last = [0], [b""]
@@ -90,7 +96,7 @@ class PrefixCounter:
                 token = data[begin:end]
                 if token in tokens and (not begin or self._apart(last[begin], token)):
                     # a token that its own merges do not build is never output
-                    if begin or end - begin == 1 or self.encode(token) == [token]:
+                    if begin or self._built(token):
                         counts.append(counts[begin] + 1)
                         last.append(token)
                         break
@@ -99,6 +105,8 @@ class PrefixCounter:
     def total(self, piece: str) -> int:
         count = self.totals.get(piece)
         if count is None:
+            if len(piece) > 64:
+                return self.piece(piece.encode())[-1]
             if len(self.totals) >= MOST_KEPT:
                 self.totals.clear()
             count = self.totals[piece] = self.piece(piece.encode())[-1]
@@ -154,11 +162,22 @@ class PrefixCounter:
             return len(text)
         k = int(np.flatnonzero(counts <= limit)[-1])
         # counts at ends of pre-tokens never fall, so the cut is in the next pre-token or the white space after it
-        best, top = int(ends[k]), int(ends[min(k + 2, len(ends) - 1)])
-        for cut in range(top, best, -1):
-            if self._tail(text, ends, counts, cut) <= limit:
-                return cut
-        return best
+        for p in (k + 1, k):
+            if p + 1 < len(ends):
+                begin, end = int(ends[p]), int(ends[p + 1])
+                if end - begin > 16:
+                    # one pass over a long pre-token answers for all its prefixes
+                    piece = text[begin:end]
+                    own = self.piece(piece.encode())
+                    at = np.cumsum([0, *[len(c.encode()) for c in piece]])
+                    for size in range(len(piece), 1, -1):
+                        if counts[p] + own[at[size]] <= limit:
+                            return begin + size
+                    end = begin + 1
+                for cut in range(end, begin, -1):
+                    if self._tail(text, ends, counts, cut) <= limit:
+                        return cut
+        return int(ends[k])
 
 
 @functools.lru_cache(maxsize=2)
