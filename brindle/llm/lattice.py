@@ -16,7 +16,7 @@ a proper distribution over texts.
 
 Word counts are taken over all training documents.  For the sums per document
 the most frequent words, a number bounded by a parameter, are looked up in a
-broadcast table; the other ones are joined, summed per document beforehand.
+broadcast table; the others are joined, summed per document beforehand.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from . import textkit
 from .cluster import cut
 
-#: Words looked up in the broadcast table of 24 bytes each.
-HOT_WORDS = 1 << 16
+#: Words looked up in the broadcast table are those with at least this part of all occurrences, so no more than
+#: so many; 24 bytes each.
+HOT_WORDS = 1 << 20
 #: Taken off each word's count for words not seen in training.
 DISCOUNT = 0.5
 _LONG = 48
@@ -295,7 +296,9 @@ def lattice_scores(
         edge = np.log(np.maximum(c - DISCOUNT, 0) / max(n, 1), where=c > 0, out=np.full(len(c), -np.inf))
         return np.logaddexp(edge, math.log(spelled) + marginals([b" " + w for w in words], pieces, logp)) / log10
 
-    top = counted.orderBy(F.desc("c_all"), "word").limit(hot_words).select("word", "c_train").toPandas()
+    # words of at least 1 / hot_words of all words are hot_words at most
+    every = counted.agg(F.coalesce(F.sum("c_all"), F.lit(0))).first()[0]
+    top = counted.where(F.col("c_all") >= max(1.0, every / hot_words)).select("word", "c_train").toPandas()
     top_words = [bytes(w) for w in top["word"]]
     c = top["c_train"].to_numpy().astype(np.int64)
     hashes = _own_hashes(top_words) if top_words else np.zeros(0, np.uint64)
