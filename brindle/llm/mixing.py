@@ -27,6 +27,8 @@ CELL_DOCS = 50_000
 #: Sources up to which their table is broadcast.
 BROADCAST_SOURCES = 100_000
 NEWTON_STEPS = 60
+#: Documents of each power of two of sizes with which a source is brought nearer its target.
+POOL = 8
 
 
 def words_in(text: Column) -> Column:
@@ -163,38 +165,47 @@ def mix(
 def _make_good(rounded: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     """(key, size, salt, rank, change): documents whose copies change by one so that sources come nearer their targets.
 
-    The pool has up to four documents of each power of two of sizes for either
-    direction; from the largest on, each that still fits is taken.
+    The pool has up to `POOL` documents of each power of two of sizes.  From the
+    largest on, each is copied once more or less if the source comes nearer its
+    target by it; last, the best exchange of two that have not changed is made.
     """
-    one = F.struct("size", "salt", "rank")
-    first = F.struct(F.xxhash64("doc_id", F.lit(9)).alias("order"), one.alias("doc"))
+    doc = F.struct("size", "salt", "rank", (F.col("copies") < most).alias("more"), (F.col("copies") > 0).alias("less"))
+    by_hash = F.xxhash64("doc_id", F.lit(9))
     pool = (
         rounded.where("size > 0")
-        .groupBy("key", F.floor(F.log2("size")).alias("magnitude"), F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)).alias("of_four"))
-        .agg(
-            F.min(F.when(F.col("copies") < most, first)).alias("more"), F.min(F.when(F.col("copies") > 0, first)).alias("less"),
-            F.sum(F.col("copies") * F.col("size")).alias("taken"),
-        )
+        .groupBy("key", F.floor(F.log2("size")).alias("magnitude"), F.pmod(by_hash, F.lit(POOL)).alias("part"))
+        .agg(F.min(F.struct(by_hash.alias("order"), doc.alias("doc"))).alias("d"), F.sum(F.col("copies") * F.col("size")).alias("taken"))
         .groupBy("key")
-        .agg(
-            F.sum("taken").alias("taken"),
-            F.sort_array(F.collect_list(F.col("more.doc")), asc=False).alias("more"),
-            F.sort_array(F.collect_list(F.col("less.doc")), asc=False).alias("less"),
-        )
+        .agg(F.sum("taken").alias("taken"), F.sort_array(F.collect_list("d.doc"), asc=False).alias("pool"))
         .join(targets.select("key", "target"), "key")
-        .withColumn("rest", F.col("target") - F.col("taken"))
-        .withColumn("pool", F.when(F.col("rest") > 0, F.col("more")).otherwise(F.col("less")))
     )
-    kind = "struct<size:bigint,salt:bigint,rank:int>"
-    start = F.struct(F.abs("rest").alias("rest"), F.expr(f"cast(array() as array<{kind}>)").alias("picked"))
-    picked = F.aggregate(
-        "pool", start,
+    kind = "struct<size:bigint,salt:bigint,rank:int,change:int>"
+    one = lambda x, change: F.struct(x["size"].cast("bigint").alias("size"), x["salt"].cast("bigint").alias("salt"), x["rank"].alias("rank"), F.lit(change).alias("change"))
+    start = F.struct((F.col("target") - F.col("taken")).alias("rest"), F.expr(f"cast(array() as array<{kind}>)").alias("picked"))
+
+    def step(acc, x):
+        take = lambda change: F.struct((acc["rest"] - change * x["size"]).alias("rest"), F.concat(acc["picked"], F.array(one(x, change))).alias("picked"))
+        return F.when(x["more"] & (2 * acc["rest"] > x["size"]), take(1)).when(x["less"] & (-2 * acc["rest"] > x["size"]), take(-1)).otherwise(acc)
+
+    changed = pool.select("key", "pool", F.aggregate("pool", start, step).alias("acc")).select("key", "pool", "acc.rest", "acc.picked")
+    changed = cut(changed)
+    same = lambda x: F.exists("picked", lambda y: (y["size"] == x["size"]) & (y["salt"] == x["salt"]) & (y["rank"] == x["rank"]))
+    left = changed.select("key", "rest", "picked", F.filter("pool", lambda x: ~same(x)).alias("left"))
+    # of all (one more, one less): the exchange that leaves the least
+    best = F.aggregate(
+        "left",
+        F.struct(F.abs("rest").alias("off"), F.expr(f"cast(array() as array<{kind}>)").alias("swap")),
         lambda acc, x: F.when(
-            x["size"] <= acc["rest"] + 0.5,
-            F.struct((acc["rest"] - x["size"]).alias("rest"), F.concat(acc["picked"], F.array(x.cast(kind))).alias("picked")),
-        ).otherwise(acc),
-        lambda acc: acc["picked"],
-    )
-    return pool.select("key", F.when(F.col("rest") > 0, 1).otherwise(-1).alias("change"), F.explode(picked).alias("d")).select(
-        "key", "d.size", "d.salt", "d.rank", "change"
+            ~x["more"], acc
+        ).otherwise(
+            F.aggregate(
+                "left", acc,
+                lambda b, y: F.when(
+                    y["less"] & (F.abs(F.col("rest") - x["size"] + y["size"]) < b["off"]),
+                    F.struct(F.abs(F.col("rest") - x["size"] + y["size"]).alias("off"), F.array(one(x, 1), one(y, -1)).alias("swap")),
+                ).otherwise(b),
+            )
+        ),
+        lambda acc: acc["swap"],
     )
+    return left.select("key", F.explode(F.concat("picked", best)).alias("d")).select("key", "d.size", "d.salt", "d.rank", "d.change")
