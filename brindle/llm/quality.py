@@ -77,7 +77,7 @@ def features(column: pa.Array) -> np.ndarray:
         upper = (data >= 65) & (data <= 90)
         rest = [
             np.log1p(count), np.log1p(size), _per(np.bincount(text, ends - starts, n), count), _per(distinct, total), _per(np.bincount(text, same, n), count),
-            _per(top, total), 1 - _per(g_distinct, g_total), 1 - _per(l_distinct, l_total), np.log1p(_per(total, l_total)),
+            _per(top, total), _per(g_total - g_distinct, g_total), _per(l_total - l_distinct, l_total), np.log1p(_per(total, l_total)),
             _per(np.bincount(text, marks[ends - 1] if len(ends) else None, n), count), _per(np.bincount(text, in_word == ends - starts, n), count),
             _per(np.bincount(text_of_byte, marks, n), size), (count == 0).astype(float), _per(np.bincount(text, upper[starts] if len(starts) else None, n), count),
         ]
