@@ -43,7 +43,7 @@ RULES = (
     Rule("security", "inner-html", "medium", r"\.innerHTML\s*=", "writes markup", unless=r"(?i)sanitiz", languages=_JS, weight=3),
     Rule("naming", "underscore", "low", r"(?:\b(?:let|var|private|public|protected)\s+_\w+|^\s*_\w+\s*[:=])", "name begins with an underscore", languages=_JS),
     Rule("type-safety", "force-cast", "error", r"(?<![A-Za-z0-9_])as!", "forced cast", languages=_SWIFT, weight=3),
-    Rule("type-safety", "force-unwrap", "warning", r"[A-Za-z0-9_)\]]!(?![=])", "forced unwrap", unless=r"@IBOutlet", languages=_SWIFT, weight=2),
+    Rule("type-safety", "force-unwrap", "warning", r"(?<=[A-Za-z0-9_)\]])(?<!\btry)(?<!\bas)!(?!=)", "forced unwrap", unless=r"@IBOutlet", languages=_SWIFT, weight=2),
     Rule("type-safety", "any-type", "warning", r":\s*Any(?:Object)?(?![A-Za-z0-9_])", "declared as Any", languages=_SWIFT),
     Rule("error-handling", "force-try", "high", r"(?<![A-Za-z0-9_])try!", "errors crash", languages=_SWIFT, weight=3),
     Rule("error-handling", "empty-catch", "high", r"catch\s*\{\s*\}", "error swallowed", languages=_SWIFT, weight=3),

@@ -137,10 +137,10 @@ def symbols(files: DataFrame, packs: tuple[LanguagePack, ...] = PACKS) -> DataFr
     ]
     scope = F.filter(F.array(*[F.when(F.col("depth") > k, sc) for k, sc in enumerate(scopes)]), lambda x: x.isNotNull())
     heritage = F.when(F.col("language") == "swift", F.regexp_extract("text", r":\s*([\w\s,.<>]+?)\s*\{", 1)).otherwise("")
-    parents = F.filter(F.transform(F.split(heritage, ","), F.trim), lambda x: x != "")
+    parents = F.filter(F.transform(F.split(heritage, ","), lambda x: F.trim(x)), lambda x: x != "")
     is_protocol = lambda x: x.isin(*SWIFT_PROTOCOLS) | x.endswith("Protocol")
     extends = F.nullif(F.regexp_extract("text", r"\bextends\s+([\w$.]+)", 1), F.lit(""))
-    implements = F.filter(F.transform(F.split(F.regexp_extract("text", r"\bimplements\s+([\w$.,\s<>]+?)\s*\{", 1), ","), F.trim), lambda x: x != "")
+    implements = F.filter(F.transform(F.split(F.regexp_extract("text", r"\bimplements\s+([\w$.,\s<>]+?)\s*\{", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
     swift = F.col("language") == "swift"
     return (
         lines.withColumn("scope", scope).where("d is not null and d.name <> ''")
