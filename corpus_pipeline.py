@@ -18,6 +18,7 @@ from brindle.llm.neardup import near_duplicates
 from brindle.llm.packing import pack_tokens
 from brindle.llm.quality import score_quality, train
 from brindle.llm.queries import vocabulary
+from brindle.session import reachable
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +55,11 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality", quality),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("mixing", mixing),
-    ("packing", packing),
+    ("quality", reachable(quality)),
+    ("near_dedup", reachable(near_dedup)),
+    ("decontamination", reachable(decontamination)),
+    ("mixing", reachable(mixing)),
+    ("packing", reachable(packing)),
 ]
 
 #: Fitting a classifier and encoding are beyond SQL; tests/llm compares the stages with brute force.
