@@ -10,10 +10,14 @@ The inventory of pieces is never trained.  Its scores (log probabilities of a
 unigram model, or the merge ranks of a BPE model, read as 1 / (rank + 1)) are
 where expectation-maximisation over the training documents' distinct words
 starts from.  A word seen in training is one more edge of its lattice, from
-its start to its end, weighted by its count less an absolute discount; what the
+its start to its end, weighted by its count less an estimated absolute discount; what the
 discounts free is the weight of spelling a word in pieces.  Both together are
 a proper distribution over texts.
 
+Languages spell differently, so every class of training documents (the values
+of a column such as the language) has weights of its own.  A document's class
+is not given: its probability is summed over classes as over segmentations.
+
 Word counts are taken over all training documents.  For the sums per document
 the most frequent words, a number bounded by a parameter, are looked up in a
 broadcast table; the others are joined, summed per document beforehand.
@@ -35,8 +39,8 @@ from .cluster import cut
 #: Words looked up in the broadcast table are those with at least this part of all occurrences, so no more than
 #: so many; 24 bytes each.
 HOT_WORDS = 1 << 20
-#: Taken off each word's count for words not seen in training.
-DISCOUNT = 0.5
+#: Classes of documents with weights of their own, besides one for the rest.
+MOST_CLASSES = 8
 _LONG = 48
 _FLUSH = 1_500_000
 
@@ -69,7 +73,7 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     power, inverse = textkit._power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(textkit._BYTE_VALUE[data] * power[: len(data)], out=total[1:])
-    return textkit.mix((total[ends] - total[starts]) * inverse[starts])
+    return (total[ends] - total[starts]) * inverse[starts]
 
 
 def load_pieces(path: str) -> Pieces:
@@ -104,35 +108,33 @@ def _lattice(words: list[bytes], pieces: Pieces, length: int):
     n = len(words)
     data = np.frombuffer(b"".join(words), np.uint8)
     power, inverse = textkit._power_tables(length + 1)
-    total = np.zeros((n, length + 1), np.uint64)
-    np.cumsum(textkit._BYTE_VALUE[data].reshape(n, length) * power[:length], axis=1, out=total[:, 1:])
+    total = np.zeros((length + 1, n), np.uint64)
+    np.cumsum(textkit._BYTE_VALUE[data].reshape(n, length).T * power[:length, None], axis=0, out=total[1:])
     for end in range(1, length + 1):
         for begin in range(max(0, end - pieces.longest), end):
-            at, piece = pieces.find(textkit.mix((total[:, end] - total[:, begin]) * inverse[begin]))
+            at, piece = pieces.find((total[end] - total[begin]) * inverse[begin])
             if len(at):
                 yield end, begin, at, piece
 
 
-def _forward(words: list[bytes], pieces: Pieces, logp: np.ndarray, length: int, keep: list | None = None) -> np.ndarray:
-    forward = np.full((length + 1, len(words)), -np.inf)
+def _forward(words: list[bytes], pieces: Pieces, logp: np.ndarray, length: int) -> np.ndarray:
+    """Log forward sums by end; `logp` has one weight a piece, or a row of weights, one for each of several models."""
+    forward = np.full((length + 1, len(words), *logp.shape[1:]), -np.inf)
     forward[0] = 0
     for end, begin, at, piece in _lattice(words, pieces, length):
         forward[end, at] = np.logaddexp(forward[end, at], forward[begin, at] + logp[piece])
-        if keep is not None:
-            keep.append((end, begin, at, piece))
     return forward
 
 
-def _forward_long(word: bytes, pieces: Pieces, logp: np.ndarray) -> float:
-    forward = [0.0]
+def _forward_long(word: bytes, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
+    forward = [np.zeros(logp.shape[1:])]
     for end in range(1, len(word) + 1):
         terms = []
         for begin in range(max(0, end - pieces.longest), end):
             piece = pieces.ids.get(word[begin:end])
             if piece is not None:
                 terms.append(forward[begin] + logp[piece])
-        top = max(terms)
-        forward.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+        forward.append(np.logaddexp.reduce(terms))
     return forward[-1]
 
 
@@ -150,7 +152,7 @@ def _by_length(words: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
 
 def marginals(words: list[bytes], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     """Log probability of each word, given with its leading space, over all segmentations."""
-    out = np.zeros(len(words))
+    out = np.zeros((len(words), *logp.shape[1:]))
     if len(words):
         for length, own in _by_length(words):
             some = [words[i] for i in own]
@@ -164,61 +166,71 @@ def marginals(words: list[bytes], pieces: Pieces, logp: np.ndarray) -> np.ndarra
 def expected_counts(words: list[bytes], times: np.ndarray, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     """How often each piece is used in `times` occurrences of the words, in expectation.
 
-    Words of more than 48 bytes take no part: they are not language.
+    Words of more than 48 bytes take no part: they are not language.  For the
+    others, sums are kept as such, each byte scaled by e^4, so that words of 48
+    bytes stay far from the limits of doubles.
     """
     out = np.zeros(len(pieces.pieces))
+    weight = np.exp(logp + 4.0 * np.array([len(p) for p in pieces.pieces]))
     for length, own in _by_length(words) if len(words) else ():
         if length > _LONG:
             continue
         edges: list = []
-        forward = _forward([words[i] for i in own], pieces, logp, length, edges)
-        backward = np.full((length + 1, len(own)), -np.inf)
-        backward[length] = 0
-        for end, begin, at, piece in reversed(edges):
-            backward[begin, at] = np.logaddexp(backward[begin, at], backward[end, at] + logp[piece])
-        for end, begin, at, piece in edges:
-            share = np.exp(forward[begin, at] + logp[piece] + backward[end, at] - forward[length, at])
-            out += np.bincount(piece, share * times[own[at]], len(out))
+        forward, backward = np.zeros((length + 1, len(own))), np.zeros((length + 1, len(own)))
+        forward[0] = backward[length] = 1
+        for end, begin, at, piece in _lattice([words[i] for i in own], pieces, length):
+            w = weight[piece]
+            forward[end, at] += forward[begin, at] * w
+            edges.append((end, begin, at, piece, w))
+        share, used, shares = times[own] / forward[length], [], []
+        for end, begin, at, piece, w in reversed(edges):
+            back = backward[end, at] * w
+            backward[begin, at] += back
+            used.append(piece)
+            shares.append(forward[begin, at] * back * share[at])
+        out += np.bincount(np.concatenate(used), np.concatenate(shares), len(out))
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, c_train, c_all): occurrences in training texts and in all; summed while memory allows."""
+def _count(classes: int):
+    """(word, c_all, c0, ...): occurrences in all texts and in the training texts of each class; summed while memory allows."""
+    names = ["word", "c_all", *[f"c{k}" for k in range(classes)]]
 
     def summed(held):
-        h, train, every = (np.concatenate(x) for x in list(zip(*held))[:3])
-        words = [w for x in held for w in x[3]]
+        h, counts = (np.concatenate(x) for x in list(zip(*held))[:2])
+        words = [w for x in held for w in x[2]]
         _, at, back = np.unique(h, return_index=True, return_inverse=True)
-        return [(h[at], np.bincount(back, train), np.bincount(back, every), [words[i] for i in at])]
+        return [(h[at], np.column_stack([np.bincount(back, c) for c in counts.T]), [words[i] for i in at])]
 
     def out(held):
-        _, train, every, words = summed(held)[0]
+        _, counts, words = summed(held)[0]
         for a in range(0, len(words), 50_000):
             b = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words[b], pa.binary()), pa.array(train[b].astype(np.int64)), pa.array(every[b].astype(np.int64))],
-                ["word", "c_train", "c_all"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(words[b], pa.binary()), *[pa.array(c.astype(np.int64)) for c in counts[b].T]], names)
 
-    held: list = []
-    for batch in batches:
-        training = batch.column(1).to_numpy(zero_copy_only=False)
-        for a, b, data, offsets in textkit.text_chunks(batch.column(0)):
-            starts, ends, first = textkit.word_spans(data, offsets)
-            if not len(starts):
-                continue
-            hashes = textkit.word_hashes(data, starts, ends)
-            own = np.repeat(training[a:b], np.diff(first))
-            h, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-            low = textkit.lower(data).tobytes()
-            held.append((h, np.bincount(back, own), np.bincount(back), [low[s:e] for s, e in zip(starts[at], ends[at])]))
-        if sum(len(x[0]) for x in held) > _FLUSH:
-            held = summed(held)
-            if len(held[0][0]) > _FLUSH // 2:
-                yield from out(held)
-                held = []
-    if held:
-        yield from out(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            class_of = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in textkit.text_chunks(batch.column(0)):
+                starts, ends, first = textkit.word_spans(data, offsets)
+                if not len(starts):
+                    continue
+                hashes = textkit.word_hashes(data, starts, ends)
+                own = np.repeat(class_of[a:b], np.diff(first))
+                h, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+                low = textkit.lower(data).tobytes()
+                counts = np.column_stack([np.bincount(back), *[np.bincount(back, own == k) for k in range(classes)]])
+                held.append((h, counts, [low[s:e] for s, e in zip(starts[at], ends[at])]))
+            if sum(len(x[0]) for x in held) > _FLUSH:
+                held = summed(held)
+                if len(held[0][0]) > _FLUSH // 2:
+                    yield from out(held)
+                    held = []
+        if held:
+            yield from out(held)
+
+    return run
 
 
 def _spaced(column: pa.Array) -> list[bytes]:
@@ -235,95 +247,123 @@ def _own_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def lattice_scores(
-    docs: DataFrame, training: str, vocabulary: str, rounds: int = 2, hot_words: int = HOT_WORDS,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, training: str, vocabulary: str, rounds: int = 4, hot_words: int = HOT_WORDS,
+    id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang",
 ) -> DataFrame:
     """One row for each row of `docs`: (doc_id, n_tokens, n_known, train_tokens, base_score, score).
 
     `training` is a SQL predicate over `docs` naming the documents to learn
     from.  Tokens are lower-cased words and one end.  base_score: the smoothed
-    word unigram model; score: log10 of the marginal probability of the text
-    under the pieces of the sentencepiece file `vocabulary`, its end included.
-    Null and empty texts have the end alone; without training documents the
-    vocabulary's own scores are used and no token is known.  Repeated rows give
-    repeated results.
+    word unigram model; score: log10 of the marginal probability of the text,
+    its end included, over all classes and segmentations.  Classes are the
+    commonest values of `class_col` in training, and one for all others; a
+    text's own value is not looked at, and without the column there is one
+    class.  Null and empty texts have the end alone; without training documents
+    the vocabulary's own scores are used and no token is known.  Repeated rows
+    give repeated results.
     """
     spark = docs.sparkSession
     pieces = load_pieces(vocabulary)
+    value = F.col(class_col).cast("string") if class_col in docs.columns else F.lit(None).cast("string")
     given = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), value.alias("value"),
         F.coalesce(F.expr(training), F.lit(False)).alias("training"),
     )
+    # at most MOST_CLASSES rows
+    common = given.where("training").groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(MOST_CLASSES).collect()
+    class_of = F.lit(len(common))
+    for k, r in enumerate(common):
+        class_of = F.when(F.col("value").eqNullSafe(F.lit(r["value"])), k).otherwise(class_of)
+    given = given.withColumn("class", F.when(F.col("training"), class_of).otherwise(-1).cast("int"))
+    ends = np.zeros(len(common) + 1)
+    for r in given.where("training").groupBy("class").count().collect():
+        ends[r["class"]] = r["count"]
+    classes = max(1, len(ends) if ends[-1] else len(ends) - 1)
+    ends = ends[:classes]
+
+    train = [f"c{k}" for k in range(classes)]
     counted = cut(
-        given.select("text", "training")
-        .mapInArrow(_count, "word binary, c_train long, c_all long")
+        given.select("text", "class")
+        .mapInArrow(_count(classes), "word binary, c_all long, " + ", ".join(f"{c} long" for c in train))
         .groupBy("word")
-        .agg(F.sum("c_train").alias("c_train"), F.sum("c_all").alias("c_all"))
+        .agg(*[F.sum(c).cast("long").alias(c) for c in ("c_all", *train)])
     )
-    words, distinct = counted.agg(F.coalesce(F.sum("c_train"), F.lit(0)), F.count_if(F.col("c_train") > 0)).first()
-    ends = given.where("training").count()
-    n, v = words + ends, distinct + bool(ends)
+    c_train = sum((F.col(c) for c in train), F.lit(0))
+    row = counted.agg(
+        F.coalesce(F.sum("c_all"), F.lit(0)), F.count_if(c_train > 0), *[F.coalesce(F.sum(c), F.lit(0)) for c in train],
+        *[F.count_if(F.col(c) > 0) for c in train], *[F.count_if(F.col(c) == 1) for c in train], *[F.count_if(F.col(c) == 2) for c in train],
+    ).first()
+    every, (words, distinct, once, twice) = row[0], np.array(row[2:], float).reshape(4, classes)
+    # absolute discounting: taken off each word's count for words not seen in training, by how many were seen once and twice
+    discount = np.clip((once + 1) / (once + 2 * twice + 2), 0.1, 0.95)
+    n, v = int(words.sum() + ends.sum()), row[1] + bool(ends.any())
     below = n + 0.5 * (v + 1)
 
-    logp = pieces.logp
-    for _ in range(rounds if words else 0):
+    logp = np.repeat(pieces.logp[:, None], classes, axis=1)
+    for _ in range(rounds if words.any() else 0):
         now = spark.sparkContext.broadcast((pieces, logp))
 
         def expect(batches, now=now):
             pieces, logp = now.value
-            total = np.zeros(len(pieces.pieces))
+            total = np.zeros(logp.shape)
             for batch in batches:
-                total += expected_counts(_spaced(batch.column(0)), np.ones(len(batch)), pieces, logp)
+                spaced = _spaced(batch.column(0))
+                for k in range(classes):
+                    own = np.flatnonzero(batch.column(1 + k).to_numpy() > 0)
+                    total[:, k] += expected_counts([spaced[i] for i in own], np.ones(len(own)), pieces, logp[:, k])
             used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total.ravel()[used])], ["piece", "times"])
 
-        # as many rows as the vocabulary has pieces
+        # as many rows as the vocabulary has pieces, for each class
         rows = (
-            counted.where("c_train > 0").select("word").mapInArrow(expect, "piece long, times double")
+            counted.where(c_train > 0).select("word", *train).mapInArrow(expect, "piece long, times double")
             .groupBy("piece").agg(F.sum("times").alias("times")).toPandas()
         )
-        times = np.full(len(pieces.pieces), 0.1)
+        times = np.full(logp.size, 0.1)
         times[rows["piece"].to_numpy()] += rows["times"].to_numpy()
-        logp = np.log(times) - math.log(times.sum())
+        times = times.reshape(logp.shape)
+        logp = np.log(times) - np.log(times.sum(0))
     model = spark.sparkContext.broadcast((pieces, logp))
 
     log10 = math.log(10)
     base_of = lambda c: np.log10((c + 0.5) / below)
-    spelled = DISCOUNT * distinct / n if words else 1.0
+    sizes = np.maximum(words + ends, 1)
+    spelled = np.log(np.maximum(discount * distinct, 0.5) / sizes) if n else np.zeros(classes)
 
     def word_scores(words: list[bytes], c: np.ndarray) -> np.ndarray:
+        """log10 of each word's probability in each class."""
         pieces, logp = model.value
-        edge = np.log(np.maximum(c - DISCOUNT, 0) / max(n, 1), where=c > 0, out=np.full(len(c), -np.inf))
-        return np.logaddexp(edge, math.log(spelled) + marginals([b" " + w for w in words], pieces, logp)) / log10
+        edge = np.log(np.maximum(c - discount, 0) / sizes, where=c > 0, out=np.full(c.shape, -np.inf))
+        return np.logaddexp(edge, spelled + marginals([b" " + w for w in words], pieces, logp)) / log10
 
     # words of at least 1 / hot_words of all words are hot_words at most
-    every = counted.agg(F.coalesce(F.sum("c_all"), F.lit(0))).first()[0]
-    top = counted.where(F.col("c_all") >= max(1.0, every / hot_words)).select("word", "c_train").toPandas()
+    top = counted.where(F.col("c_all") >= max(1.0, every / hot_words)).select("word", *train).toPandas()
     top_words = [bytes(w) for w in top["word"]]
-    c = top["c_train"].to_numpy().astype(np.int64)
-    hashes = _own_hashes(top_words) if top_words else np.zeros(0, np.uint64)
+    c = top[train].to_numpy().astype(np.int64).reshape(len(top), classes)
+    hashes = _own_hashes(top_words)
     order = np.argsort(hashes)
-    hot = spark.sparkContext.broadcast(
-        (hashes[order], c[order] > 0, base_of(c[order]), word_scores(top_words, c)[order])
-    )
-    end = (int(ends > 0), float(base_of(ends)), math.log10(ends / n if ends else 1e-3))
+    total = c.sum(1)[order]
+    hot = spark.sparkContext.broadcast((hashes[order], total > 0, base_of(total), word_scores(top_words, c)[order]))
+    end_p = np.log10(np.maximum(ends, 0.5) / sizes) if n else np.full(classes, -3.0)
+    end = (int(ends.any()), float(base_of(ends.sum())), end_p)
+    lattice = [f"l{k}" for k in range(classes)]
+    doubles = ", ".join(f"{x} double" for x in lattice)
 
     def rest(batches):
         for batch in batches:
             got = batch.column(0).to_pylist()
-            c = batch.column(1).to_numpy()
+            c = np.column_stack([batch.column(1 + k).to_numpy() for k in range(classes)])
+            total = c.sum(1)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(_own_hashes(got).view(np.int64)), pa.array((c > 0).astype(np.int64)), pa.array(base_of(c)),
-                    pa.array(word_scores(got, c)),
-                ],
-                ["h", "known", "base", "lattice"],
+                [pa.array(_own_hashes(got).view(np.int64)), pa.array((total > 0).astype(np.int64)), pa.array(base_of(total)), *map(pa.array, word_scores(got, c).T.copy())],
+                ["h", "known", "base", *lattice],
             )
 
-    schema = "doc_id long, digest long, h long, times long, rows long, tokens long, known long, base double, lattice double"
+    names = ["doc_id", "digest", "h", "times", "rows", "tokens", "known", "base", *lattice]
+    schema = "doc_id long, digest long, h long, times long, rows long, tokens long, known long, base double, " + doubles
 
     def look_up(batches):
-        table, known, base, lattice = hot.value
+        table, known, base, scores = hot.value
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, offsets in textkit.text_chunks(batch.column(1)):
@@ -334,14 +374,15 @@ def lattice_scores(
                 digest = _digests(hashes, first)
                 place = np.minimum(np.searchsorted(table, hashes), max(len(table) - 1, 0))
                 hit = table[place] == hashes if len(table) else np.zeros(len(hashes), bool)
-                sums = [np.bincount(text[hit], x[place[hit]], b - a) for x in (known.astype(float), base, lattice)]
+                of, at = text[hit], place[hit]
+                sums = [np.bincount(of, x[at], b - a) for x in (known.astype(float), base, *scores.T)]
                 one, zero = np.ones(b - a, np.int64), np.zeros(b - a, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[a:b], pa.array(digest), pa.nulls(b - a, pa.int64()), pa.array(zero), pa.array(one), pa.array(count + 1),
-                        pa.array(sums[0].astype(np.int64) + end[0]), pa.array(sums[1] + end[1]), pa.array(sums[2] + end[2]),
+                        pa.array(sums[0].astype(np.int64) + end[0]), pa.array(sums[1] + end[1]), *[pa.array(x + e) for x, e in zip(sums[2:], end[2])],
                     ],
-                    ["doc_id", "digest", "h", "times", "rows", "tokens", "known", "base", "lattice"],
+                    names,
                 )
                 left = np.flatnonzero(~hit)
                 if len(left):
@@ -352,34 +393,32 @@ def lattice_scores(
                     own = ids[a:b].take(pa.array(t[new]))
                     zero, none = np.zeros(len(new), np.int64), np.zeros(len(new))
                     yield pa.RecordBatch.from_arrays(
-                        [own, pa.array(digest[t[new]]), pa.array(h[new].view(np.int64)), pa.array(times), *[pa.array(zero)] * 3, *[pa.array(none)] * 2],
-                        ["doc_id", "digest", "h", "times", "rows", "tokens", "known", "base", "lattice"],
+                        [own, pa.array(digest[t[new]]), pa.array(h[new].view(np.int64)), pa.array(times), *[pa.array(zero)] * 3, *[pa.array(none)] * (1 + classes)], names
                     )
 
-    # two uses of one scan: what the table answers, and the words it has not
     looked = given.select("doc_id", "text").mapInArrow(look_up, schema)
-    table = counted.select("word", "c_train").mapInArrow(rest, "h long, known long, base double, lattice double").select(
-        "h", F.col("known").alias("k"), F.col("base").alias("b"), F.col("lattice").alias("l")
+    table = counted.select("word", *train).mapInArrow(rest, "h long, known long, base double, " + doubles).select(
+        F.col("h").alias("key"), F.col("known").alias("k"), F.col("base").alias("b"), *[F.col(x).alias(f"t{x}") for x in lattice]
     )
     # rows without a word are dealt out by their document, not by the null key
     keyed = looked.withColumn("key", F.coalesce("h", F.xxhash64("doc_id", "digest")))
+    of_word = lambda x: F.when(F.col("h").isNotNull(), F.coalesce(x, F.lit(0)) * F.col("times")).otherwise(0)
     sums = (
-        keyed.join(table.withColumnRenamed("h", "key"), "key", "left")
-        .withColumn("word", F.col("h").isNotNull())
+        keyed.join(table, "key", "left")
         .groupBy("doc_id", "digest")
         .agg(
-            F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"),
-            F.sum(F.col("known") + F.when(F.col("word"), F.coalesce(F.col("k"), F.lit(0)) * F.col("times")).otherwise(0)).alias("known"),
-            F.sum(F.col("base") + F.when(F.col("word"), F.col("b") * F.col("times")).otherwise(0)).alias("base"),
-            F.sum(F.col("lattice") + F.when(F.col("word"), F.col("l") * F.col("times")).otherwise(0)).alias("lattice"),
+            F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), F.sum(F.col("known") + of_word(F.col("k"))).alias("known"),
+            F.sum(F.col("base") + of_word(F.col("b"))).alias("base"), *[F.sum(F.col(x) + of_word(F.col(f"t{x}"))).alias(x) for x in lattice],
         )
     )
+    prior = np.log10(np.maximum(ends, 0.5) / max(ends.sum(), 1)) if n else np.zeros(1)
+    by_class = [F.col(x) / F.col("rows") + float(p) for x, p in zip(lattice, prior)]
+    best = F.greatest(*by_class) if classes > 1 else by_class[0]
+    score = best + F.log10(sum((F.pow(F.lit(10.0), F.greatest(x - best, F.lit(-300.0))) for x in by_class), F.lit(0.0)))
     return sums.select(
-        "doc_id", F.col("tokens").alias("t"), "rows", "known", "base", "lattice", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy")
-    ).select(
-        "doc_id", F.expr("t div rows").alias("n_tokens"), F.expr("known div rows").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"), (F.col("lattice") / F.col("rows")).alias("score"),
-    )
+        "doc_id", F.expr("tokens div rows").alias("n_tokens"), F.expr("known div rows").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") / F.col("rows")).alias("base_score"), score.alias("score"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"),
+    ).drop("copy")
 
 
 def _digests(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
