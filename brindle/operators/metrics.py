@@ -61,9 +61,9 @@ def code_metrics(df: DataFrame, text: str = "content") -> DataFrame:
     lists = F.regexp_extract_all(t, F.lit(r"\(([^)\n]*)\)"), 1)
     sizes = F.transform(lists, lambda x: F.when(F.trim(x) == "", 0).otherwise(F.size(F.split(x, ","))))
     mean = s.ratio(F.aggregate(sizes, F.lit(0), lambda a, x: a + x), F.size(sizes))
-    branches = _count(t, r"\b(?:if|for|while|case|catch)\b") + _count(t, r"\belse\s+if\b") + _count(t, r"&&|\|\|") + _count(t, r"\?[^.?:\n]*:")
+    branches = _count(t, s.whole_word("if|for|while|case|catch")) + _count(t, s.whole_word(r"else\s+if")) + _count(t, r"&&|\|\|") + _count(t, r"\?[^.?:\n]*:")
     return df.select(
-        "*", (_count(t, r"\bfunction\b") + _count(t, r"=>")).alias("methods"), _count(t, r"(?m)^\s*(?:public|private|protected|readonly|static|let|const|var)\s+\w+\s*[:=;]").alias("fields"),
+        "*", (_count(t, s.whole_word("function")) + _count(t, r"=>")).alias("methods"), _count(t, r"(?m)^\s*(?:public|private|protected|readonly|static|let|const|var)\s+\w+\s*[:=;]").alias("fields"),
         s.round_half_up(mean).cast("int").alias("params"), (branches + 1).alias("cyclomatic"), lines_of_code(t).alias("loc"),
     )
 
@@ -106,8 +106,8 @@ def roll_up(functions: DataFrame, key: str = "path", name: str = "name") -> Data
 def workflow_complexity(text: Column) -> Column:
     """0.1 a line, 2 a function and 1.5 a condition, to two decimals."""
     size = F.size(F.split(text, "\n"))
-    functions = _count(text, r"\bfunction\b|=>")
-    conditions = _count(text, r"\b(?:if|switch|for|while)\b")
+    functions = _count(text, s.whole_word("function") + "|=>")
+    conditions = _count(text, s.whole_word("if|switch|for|while"))
     return s.round2(size * F.lit(0.1) + functions * 2 + conditions * F.lit(1.5))
 
 

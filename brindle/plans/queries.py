@@ -378,10 +378,9 @@ def maintainability(spark, sf_dir):
 
 @query(rf"""
 SELECT doc_id, CAST({_LOC} AS INTEGER) AS loc, CAST(1 + len(regexp_extract_all(text, '\b(?:if|for|while|case|catch)\b')) + len(regexp_extract_all(text, '\belse\s+if\b'))
-  + len(regexp_extract_all(text, '&&|\|\|')) + len(regexp_extract_all(text, '\?[^.?:\n]*:')) AS INTEGER) AS cyclomatic FROM documents WHERE lang = 'en'""")
+  + len(regexp_extract_all(text, '&&|\|\|')) + len(regexp_extract_all(text, '\?[^.?:\n]*:')) AS INTEGER) AS cyclomatic FROM documents""")
 def code_metrics(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").where("lang = 'en'")
-    return metrics.code_metrics(docs, "text").select("doc_id", F.col("loc").cast("int").alias("loc"), F.col("cyclomatic").cast("int").alias("cyclomatic"))
+    return metrics.code_metrics(_t(spark, sf_dir, "documents"), "text").select("doc_id", F.col("loc").cast("int").alias("loc"), F.col("cyclomatic").cast("int").alias("cyclomatic"))
 
 
 @query(rf"""
@@ -423,9 +422,9 @@ def nesting_depth(spark, sf_dir):
 
 @query(r"""
 SELECT doc_id, floor((len(string_split(text, chr(10))) * 0.1::DOUBLE + len(regexp_extract_all(text, '\bfunction\b|=>')) * 2 + len(regexp_extract_all(text, '\b(?:if|switch|for|while)\b')) * 1.5::DOUBLE) * 100 + 0.5::DOUBLE) / 100.0::DOUBLE AS complexity
-FROM documents WHERE lang = 'en'""")
+FROM documents""")
 def workflow_complexity(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", metrics.workflow_complexity(F.col("text")).alias("complexity"))
+    return _t(spark, sf_dir, "documents").select("doc_id", metrics.workflow_complexity(F.col("text")).alias("complexity"))
 
 
 # --- rules
@@ -611,11 +610,9 @@ def apply_changes(spark, sf_dir):
 
 
 @query(r"""
-SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(html, '(?s)/\*.*?\*/', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10)) AS compressed
-FROM pages WHERE NOT contains(replace(html, '://', ''), '//')""")
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '(?s)/\*.*?\*/', '', 'g'), '(^|[^:])//[^\n]*', '\1', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10)) AS compressed FROM pages""")
 def compress_medium(spark, sf_dir):
-    pages = _t(spark, sf_dir, "pages").where(~F.replace("html", F.lit("://"), F.lit("")).contains("//"))
-    return pages.select("page_id", snapshot.compress_medium(F.col("html")).alias("compressed"))
+    return _t(spark, sf_dir, "pages").select("page_id", snapshot.compress_medium(F.col("html")).alias("compressed"))
 
 
 @query("SELECT lang, CAST(sum(ceil(len(text) / 4)) AS BIGINT) AS tokens FROM documents GROUP BY lang")
@@ -711,10 +708,10 @@ def cache_health(spark, sf_dir):
 # --- scalars
 
 @query(f"""
-WITH {_SQL_LINKS} SELECT DISTINCT page_id, '/' || array_to_string(list_filter(string_split('/x/./' || regexp_replace(href, '^[a-z]+://', ''), '/'), lambda x: x <> '' AND x <> '.'), '/') AS path FROM k WHERE NOT contains(href, '..')""")
+WITH {_SQL_LINKS} SELECT DISTINCT page_id, '/' || array_to_string(list_filter(string_split('/x/./' || regexp_replace(href, '^[a-z]+://', ''), '/'), lambda x: x <> '' AND x <> '.'), '/') AS path FROM k""")
 def path_normalize(spark, sf_dir):
     href = F.regexp_replace("href", "^[a-z]+://", "")
-    return _links(spark, sf_dir).where(~F.col("href").contains("..")).select("page_id", s.normalize_path(F.concat(F.lit("/x/./"), href)).alias("path")).distinct()
+    return _links(spark, sf_dir).select("page_id", s.normalize_path(F.concat(F.lit("/x/./"), href)).alias("path")).distinct()
 
 
 @query("""
