@@ -129,10 +129,10 @@ def symbols(files: DataFrame, packs: tuple[LanguagePack, ...] = PACKS) -> DataFr
     opens, closes = F.regexp_count(code, F.lit(r"\{")), F.regexp_count(code, F.lit(r"\}"))
     upto = W.partitionBy("path").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     lines = lines.withColumn("d", found).withColumn("depth", F.coalesce(F.sum(opens - closes).over(upto), F.lit(0))).withColumn("opens", opens)
-    # the last declaration that opens a body at each depth above
+    # the last declaration at each depth above
     whole = W.partitionBy("path").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     scopes = [
-        F.last(F.when((F.col("depth") <= k) & (F.col("d").isNotNull() | (F.col("depth") < k)), F.when(F.col("depth") == k, F.struct(F.col("d.type").alias("type"), F.col("d.name").alias("name")))), ignorenulls=True).over(whole)
+        F.last(F.when((F.col("depth") == k) & F.col("d").isNotNull(), F.struct(F.col("d.type").alias("type"), F.col("d.name").alias("name"))), ignorenulls=True).over(whole)
         for k in range(3)
     ]
     scope = F.filter(F.array(*[F.when(F.col("depth") > k, sc) for k, sc in enumerate(scopes)]), lambda x: x.isNotNull())
