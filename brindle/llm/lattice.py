@@ -233,6 +233,18 @@ def _count(classes: int):
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have so many rows, for work that is cheaper on many words of one length."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _spaced(column: pa.Array) -> list[bytes]:
     return [b" " + w for w in column.to_pylist()]
 
@@ -247,7 +259,7 @@ def _own_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def lattice_scores(
-    docs: DataFrame, training: str, vocabulary: str, rounds: int = 4, hot_words: int = HOT_WORDS,
+    docs: DataFrame, training: str, vocabulary: str, rounds: int = 5, hot_words: int = HOT_WORDS,
     id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang",
 ) -> DataFrame:
     """One row for each row of `docs`: (doc_id, n_tokens, n_known, train_tokens, base_score, score).
@@ -306,7 +318,7 @@ def lattice_scores(
         def expect(batches, now=now):
             pieces, logp = now.value
             total = np.zeros(logp.shape)
-            for batch in batches:
+            for batch in _gathered(batches):
                 spaced = _spaced(batch.column(0))
                 for k in range(classes):
                     own = np.flatnonzero(batch.column(1 + k).to_numpy() > 0)
@@ -350,7 +362,7 @@ def lattice_scores(
     doubles = ", ".join(f"{x} double" for x in lattice)
 
     def rest(batches):
-        for batch in batches:
+        for batch in _gathered(batches, 50_000):
             got = batch.column(0).to_pylist()
             c = np.column_stack([batch.column(1 + k).to_numpy() for k in range(classes)])
             total = c.sum(1)
