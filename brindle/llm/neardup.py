@@ -29,7 +29,7 @@ from . import textkit
 from .cluster import connected_components, cut, parts
 
 #: Shingles and documents of a piece of a block.
-PIECE_SHINGLES, PIECE_DOCS = 1_000_000, 2048
+PIECE_SHINGLES, PIECE_DOCS = 1_000_000, 512
 
 
 def _signature(grams: np.ndarray, begin: np.ndarray, coordinates: int) -> np.ndarray:
