@@ -1,11 +1,13 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Centroids are fitted on a bounded sample by k-means whose assignment charges
-for list size, and kept in memory with a graph of their neighbours.  Every
+for list size, and kept in memory.  Every
 vector is posted to its nearest centroid and, near a boundary, to further ones:
 those within a distance ratio that no centroid already taken is nearer to.  A
-query walks the graph to the nearest centroids and reads the lists whose
-distance is within a ratio of the nearest one's.
+query looks at all centroids and reads all lists whose
+distance is within a ratio of the nearest one's, or of the mean distance of
+vectors from their centroids where that is more (a query may be a centroid),
+and further ones until they hold as many vectors as are asked for.
 
 Long lists are cut into parts by a hash, so a list that holds a third of all
 vectors is read by many tasks.  Distances of what is read are exact.
@@ -37,8 +39,8 @@ class Settings:
     sample: vectors that centroids are fitted on; per_list: vectors a list
     should hold; most_lists: centroids kept in memory at most; replicas: lists
     that a vector is posted to at most; closure: ratio of distances within
-    which it is; prune: ratio within which a query reads lists; most_read: lists
-    that it reads at most; beam: centroids that the walk keeps open.
+    which it is; prune: ratio within which a query reads lists, however
+    many there are.
     """
 
     sample: int = 50_000
@@ -47,8 +49,6 @@ class Settings:
     replicas: int = 4
     closure: float = 1.15
     prune: float = 1.35
-    most_read: int = 64
-    beam: int = 128
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,8 +79,11 @@ def balanced_centroids(sample: np.ndarray, k: int, rounds: int = 12, seed: int =
 class Centroids:
     """Centroids and the graph that is walked to find those near a query."""
 
-    def __init__(self, centres: np.ndarray, degree: int = 24):
+    def __init__(self, centres: np.ndarray, degree: int = 24, sample: np.ndarray | None = None):
         self.centres = centres
+        some = centres[:0] if sample is None else sample
+        near = [_distances(some[a : a + 1024], centres).min(1) for a in range(0, len(some), 1024)]
+        self.spread = float(np.concatenate(near).mean()) if near else 0.0
         k = len(centres)
         self.near = np.empty((k, min(degree, k)), np.int64)
         for a in range(0, k, 1024):
@@ -118,6 +121,18 @@ class Centroids:
         order = sorted((-x, -n) for x, n in found)
         return np.array([n for _, n in order]), np.array([x for x, _ in order])
 
+    def read(self, q: np.ndarray, prune: float, own: np.ndarray, least: int) -> np.ndarray:
+        """Lists to read, nearest first: all within the ratio, and more until they are the nearest list of `least` vectors.
+
+        `own` has the number of vectors that each list is the nearest of.  All
+        centroids are looked at: a walk misses some of the lists within the
+        ratio, and takes longer where there are many of them.
+        """
+        d = np.linalg.norm(self.centres - q, axis=1)
+        at = np.argsort(d, kind="stable")
+        within = int((d <= prune * max(d[at[0]], self.spread) + 1e-12).sum())
+        return at[: max(within, int(np.searchsorted(np.cumsum(own[at]), least)) + 1)]
+
     def posts(self, vectors: np.ndarray, replicas: int, closure: float) -> list[np.ndarray]:
         """Lists of each vector: the nearest, and others within the ratio that are not behind one taken."""
         out = []
@@ -178,32 +193,37 @@ def nearest(
     matrix = np.unique(np.array(sample["v"].tolist()), axis=0)
     lists = max(1, min(settings.most_lists, len(matrix), round(count / settings.per_list)))
     # at most most_lists vectors, whatever the input
-    index = spark.sparkContext.broadcast(Centroids(balanced_centroids(matrix, lists)))
+    index = spark.sparkContext.broadcast(Centroids(balanced_centroids(matrix, lists), sample=matrix))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 posts = index.value.posts(_matrix(batch.column(1)), settings.replicas, settings.closure)
-                row = pa.array(np.repeat(np.arange(len(batch)), [len(p) for p in posts]))
+                sizes = np.array([len(p) for p in posts])
+                row, first = pa.array(np.repeat(np.arange(len(batch)), sizes)), np.zeros(sizes.sum(), bool)
+                first[np.cumsum(sizes) - sizes] = True
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(posts)), batch.column(0).take(row), batch.column(1).take(row)], ["list", "vec_id", "v"]
+                    [pa.array(np.concatenate(posts)), batch.column(0).take(row), batch.column(1).take(row), pa.array(first)], ["list", "vec_id", "v", "nearest"]
                 )
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                chosen = []
-                for q in _matrix(batch.column(1)):
-                    at, d = index.value.walk(q, settings.beam)
-                    keep = d <= settings.prune * d[0] + 1e-12
-                    chosen.append(at[keep][: settings.most_read])
-                row = pa.array(np.repeat(np.arange(len(batch)), [len(c) for c in chosen]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(chosen)), batch.column(0).take(row), batch.column(1).take(row)], ["list", "vec_id", "v"]
-                )
+                for a in range(0, len(batch), 32):
+                    part = batch.slice(a, 32)
+                    # the query itself is one of the vectors
+                    chosen = [index.value.read(q, settings.prune, own, k + 1) for q in _matrix(part.column(1))]
+                    row = pa.array(np.repeat(np.arange(len(part)), [len(c) for c in chosen]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(chosen)), part.column(0).take(row), part.column(1).take(row)], ["list", "vec_id", "v"]
+                    )
 
     kind = "list long, vec_id long, v array<double>"
-    posted = cut(given.mapInArrow(post, kind))
+    posted = cut(given.mapInArrow(post, kind + ", nearest boolean"))
+    # at most most_lists rows
+    own = np.zeros(lists, np.int64)
+    for r in posted.where("nearest").groupBy("list").count().collect():
+        own[r["list"]] = r["count"]
     asked = given.where(queries).mapInArrow(choose, kind)
     cells = posted.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     # queries go to every part of a list, in blocks; vectors to every block of queries that the list has

@@ -39,6 +39,45 @@ def test_recall_with_many_lists(spark):
     assert all(sorted(r for r, _ in g) == list(range(1, 11)) for g in got.values())
 
 
+@pytest.mark.parametrize("count, per_list", [(12_000, 20), (60_000, 25)])
+def test_recall_of_what_is_read_with_hundreds_and_thousands_of_lists(count, per_list):
+    rng, s = np.random.default_rng(6), Settings(per_list=per_list)
+    v = rng.normal(size=(count, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    lists = count // per_list
+    c = Centroids(balanced_centroids(v[: s.sample], lists, rounds=3), sample=v[: s.sample])
+    own = np.full(lists, per_list)
+    found = 0
+    for i in range(40):
+        d = np.linalg.norm(v - v[i], axis=1)
+        d[i] = np.inf
+        read = set(c.read(v[i], s.prune, own, 11).tolist())
+        found += sum(bool(read & set(p.tolist())) for p in c.posts(v[np.argsort(d)[:10]], s.replicas, s.closure))
+    assert found / 400 >= 0.98
+
+
+def test_recall_of_the_operator_with_hundreds_of_lists(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(6000, 64))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    rows = [(i, [float(x) for x in v[i]]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want, got = exact(rows, lambda i: i % 300 == 0), {}
+    for r in nearest(df, "vec_id % 300 = 0", settings=Settings(per_list=10)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & set(w)) for q, w in want.items()) / sum(map(len, want.values())) >= 0.98
+
+
+def test_small_lists_are_read_on(spark):
+    # every list has two equal vectors, so the nearest one's distance is 0 and no other is within a ratio of it
+    rows = [(i, [float(i // 2 * 100), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest(df, "vec_id % 20 = 0", settings=Settings(per_list=2)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(g) for q, g in got.items()} == {0: 10, 20: 10}
+
+
 def test_walk_finds_the_nearest():
     rng = np.random.default_rng(4)
     c = Centroids(balanced_centroids(rng.normal(size=(3000, 8)), 200))
