@@ -1,6 +1,7 @@
 """Format-preserving pseudonyms for personal numbers and dates.
 
-Values are found by pattern, validated (check digits, ranges, the calendar) and
+Values are found by pattern, validated (check digits, ranges, the calendar; where
+the longest match is not valid, shorter ones and other kinds are tried) and
 permuted within their own format by a keyed Feistel network: a card number
 becomes another valid card number, a date another date, and punctuation stays
 in place.  The permutation depends on the key and the kind of value only, so
@@ -87,7 +88,7 @@ class Pseudonyms:
         ("email", r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
         ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
         ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
-        ("date", r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)"),
+        ("date", r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?!(?![Tt]\d\d(?!\d)|[Tt]\d{4}(?:\d\d)?(?!\d))[\w/-]|\.\d)"),
         ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"),
         ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"),
         ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
@@ -97,6 +98,8 @@ class Pseudonyms:
     def __init__(self, key: bytes, kinds: tuple[str, ...] = KINDS):
         self.key = key
         self.pattern = re.compile("|".join(f"(?P<{k}>{_renumbered(p)})" for k, p in self.PATTERNS if k in kinds), re.ASCII)
+        # each kind alone, for the other readings of a place
+        self.single = {k: re.compile(_renumbered(p), re.ASCII) for k, p in self.PATTERNS if k in kinds}
         self.hint = re.compile(r"\d|@")
         self.permutation = functools.lru_cache(4096)(lambda kind, size: Feistel(key, kind, size))
         self.changed = functools.lru_cache(100_000)(self._changed)
@@ -219,16 +222,44 @@ class Pseudonyms:
         """The text with pseudonyms, and the kinds of what was replaced, in order."""
         if not text or not self.hint.search(text):
             return text, []
-        kinds: list[str] = []
+        kinds, out, done, at, barred = [], [], 0, 0, 0
+        while m := self.pattern.search(text, at):
+            start = m.start()
+            for kind, end, new in self._readings(text, start):
+                # groups of a number that looks like an IBAN are no phone number
+                if kind == "phone" and (end <= barred or self._checked_inside(text, start + 1, end)):
+                    continue
+                kinds.append(kind)
+                out += [text[done:start], new]
+                done = at = end
+                break
+            else:
+                if m.lastgroup == "iban":
+                    barred = max(barred, m.end())
+                at = start + 1
+        return "".join(out) + text[done:], kinds
+
+    def _checked_inside(self, text: str, start: int, end: int) -> bool:
+        """Whether a value with check digits begins there, which goes before a phone number that has none."""
+        return any(True for at in range(start, end) for _ in self._readings(text, at, ("card", "iban")))
+
+    def _readings(self, text: str, start: int, kinds: tuple[str, ...] = KINDS) -> Iterator[tuple[str, int, str]]:
+        """(kind, end, pseudonym) of the valid values that begin at `start`: by precedence of kinds, the longest first."""
+        for kind, pattern in ((k, p) for k, p in self.single.items() if k in kinds):
+            m = pattern.match(text, start)
+            while m:
+                new = self.changed(kind, m[0])
+                if new is not None:
+                    yield kind, m.end(), new
+                m = self._shorter(pattern, text, start, m.end())
 
-        def put(m: re.Match) -> str:
-            new = self.changed(m.lastgroup, m[0])
-            if new is None:
-                return m[0]
-            kinds.append(m.lastgroup)
-            return new
-
-        return self.pattern.sub(put, text), kinds
+    @staticmethod
+    def _shorter(pattern: re.Pattern, text: str, start: int, end: int) -> re.Match | None:
+        """The longest match from `start` that ends before `end`, where no word goes on."""
+        for stop in range(end - 1, start, -1):
+            if not text[stop].isalnum() and (m := pattern.fullmatch(text, start, stop)):
+                return m
+        return None
 
 
 def _renumbered(pattern: str) -> str:

@@ -45,6 +45,29 @@ def test_clean_texts_stay():
         assert p.replace(text) == (text, [])
 
 
+@pytest.mark.parametrize("text, value, kind", [
+    ("card 4111 1111 1111 1111 12/26", "4111 1111 1111 1111", "card"), ("4111111111111111 123", "4111111111111111", "card"),
+    ("card 4111-1111-1111-1111-123.", "4111-1111-1111-1111", "card"), ("ref 12 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+    ("BE68 5390 0754 7034 EUR", "BE68 5390 0754 7034", "iban"), ("AT61 1904 3002 3457 3201 BIC", "AT61 1904 3002 3457 3201", "iban"),
+    ("BE68539007547034 EUR 5", "BE68539007547034", "iban"), ("on 2024-03-31T12:30:00Z", "2024-03-31", "date"),
+    ("20 2024-03-31T123000+02:00", "2024-03-31", "date"), ("at 2024.03.31t12", "2024.03.31", "date"),
+    ("ref 1234567 415-555-0132", "415-555-0132", "phone"), ("415 555 0132 1234", "415 555 0132", "phone"),
+    ("555 0132 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+    ("AB13 CDEF GHIJ 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+])
+def test_values_next_to_other_words_do_not_stay(text, value, kind):
+    before, after = text.split(value)
+    out, kinds = Pseudonyms(KEY).replace(text)
+    assert value not in out and kinds == [kind]
+    assert out.startswith(before) and out.endswith(after) and len(out) == len(text)
+
+
+def test_words_behind_a_date_keep_it():
+    p = Pseudonyms(KEY)
+    for text in ("2024-03-31Txx", "2024-03-31T123", "2024-03-31x12"):
+        assert p.replace(text) == (text, [])
+
+
 def test_dates_are_permuted_within_their_reading():
     p, seen = Pseudonyms(KEY), set()
     for day in range(1, 29):
