@@ -138,6 +138,31 @@ def _forward_long(word: bytes, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     return forward[-1]
 
 
+def _expect_long(word: bytes, times: float, pieces: Pieces, logp: np.ndarray, out: np.ndarray) -> None:
+    """Adds the expected counts of one long word; only sums by place are kept, edges are found again on the way back."""
+    n, longest, get, exp, log = len(word), pieces.longest, pieces.ids.get, math.exp, math.log
+    weights = logp.tolist()
+
+    def edges(end: int) -> list[tuple[int, int]]:
+        found = ((begin, get(word[begin:end])) for begin in range(max(0, end - longest), end))
+        return [(begin, piece) for begin, piece in found if piece is not None]
+
+    forward = [0.0] + [-math.inf] * n
+    for end in range(1, n + 1):
+        terms = [forward[begin] + weights[piece] for begin, piece in edges(end)]
+        top = max(terms, default=-math.inf)
+        if top > -math.inf:
+            forward[end] = top + log(sum(exp(x - top) for x in terms))
+    # backward sums of a place as shares: the chance that a segmentation passes through it
+    through = [0.0] * n + [float(times)]
+    for end in range(n, 0, -1):
+        if through[end]:
+            for begin, piece in edges(end):
+                share = through[end] * exp(forward[begin] + weights[piece] - forward[end])
+                out[piece] += share
+                through[begin] += share
+
+
 def _by_length(words: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
     lengths = np.array([len(w) for w in words])
     order = np.argsort(lengths, kind="stable")
@@ -166,14 +191,16 @@ def marginals(words: list[bytes], pieces: Pieces, logp: np.ndarray) -> np.ndarra
 def expected_counts(words: list[bytes], times: np.ndarray, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     """How often each piece is used in `times` occurrences of the words, in expectation.
 
-    Words of more than 48 bytes take no part: they are not language.  For the
-    others, sums are kept as such, each byte scaled by e^4, so that words of 48
-    bytes stay far from the limits of doubles.
+    Sums are kept as such, each byte scaled by e^4, so that words of 48 bytes
+    stay far from the limits of doubles; longer words are worked one by one in
+    log space.
     """
     out = np.zeros(len(pieces.pieces))
     weight = np.exp(logp + 4.0 * np.array([len(p) for p in pieces.pieces]))
     for length, own in _by_length(words) if len(words) else ():
         if length > _LONG:
+            for i in own:
+                _expect_long(words[i], times[i], pieces, logp, out)
             continue
         edges: list = []
         forward, backward = np.zeros((length + 1, len(own))), np.zeros((length + 1, len(own)))
@@ -192,6 +219,12 @@ def expected_counts(words: list[bytes], times: np.ndarray, pieces: Pieces, logp:
     return out
 
 
+def _maximised(times: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Weights of pieces by their expected counts; a class without any keeps those it has."""
+    some = times + 0.1
+    return np.where(times.any(0), np.log(some) - np.log(some.sum(0)), logp)
+
+
 def _count(classes: int):
     """(word, c_all, c0, ...): occurrences in all texts and in the training texts of each class; summed while memory allows."""
     names = ["word", "c_all", *[f"c{k}" for k in range(classes)]]
@@ -331,10 +364,9 @@ def lattice_scores(
             counted.where(c_train > 0).select("word", *train).mapInArrow(expect, "piece long, times double")
             .groupBy("piece").agg(F.sum("times").alias("times")).toPandas()
         )
-        times = np.full(logp.size, 0.1)
+        times = np.zeros(logp.size)
         times[rows["piece"].to_numpy()] += rows["times"].to_numpy()
-        times = times.reshape(logp.shape)
-        logp = np.log(times) - np.log(times.sum(0))
+        logp = _maximised(times.reshape(logp.shape), logp)
     model = spark.sparkContext.broadcast((pieces, logp))
 
     log10 = math.log(10)

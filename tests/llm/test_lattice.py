@@ -36,6 +36,42 @@ def test_marginals_and_expectations_by_enumeration():
         assert slope == pytest.approx(counts[i], abs=1e-4)
 
 
+def test_long_words_are_expected_too():
+    pieces = lattice.Pieces([b" ", b" a", b"a", b"b", b"ab", b"ba", b" ab", b"c", b"abc"], np.log([0.1, 0.1, 0.1, 0.1, 0.2, 0.1, 0.1, 0.1, 0.1]))
+    words, times = [b" " + b"abc" * 30, b" cab", b" " + b"ba" * 3000], np.array([2.0, 1, 3])
+    counts = lattice.expected_counts(words, times, pieces, pieces.logp)
+    # every byte is spelled once in each occurrence
+    assert counts @ [len(p) for p in pieces.pieces] == pytest.approx(times @ [len(w) for w in words])
+    for i in range(len(pieces.pieces)):
+        up, down = pieces.logp.copy(), pieces.logp.copy()
+        up[i] += 1e-4
+        down[i] -= 1e-4
+        slope = (lattice.marginals(words, pieces, up) - lattice.marginals(words, pieces, down)) @ times / 2e-4
+        assert slope == pytest.approx(counts[i], rel=1e-3, abs=1e-3)
+
+
+def test_long_words_are_worked_alike_on_both_paths(monkeypatch):
+    pieces = lattice.Pieces([b" ", b"a", b"b", b"ab", b"ba", b" ab"], np.log([0.2, 0.1, 0.1, 0.3, 0.2, 0.1]))
+    words, times = [b" abab", b" ba", b" abbaab"], np.array([1.0, 2, 5])
+    short = lattice.expected_counts(words, times, pieces, pieces.logp)
+    monkeypatch.setattr(lattice, "_LONG", 1)
+    assert lattice.expected_counts(words, times, pieces, pieces.logp) == pytest.approx(short)
+
+
+def test_class_without_expectation_keeps_its_weights():
+    logp, times = np.log(np.array([[0.7, 0.6], [0.3, 0.4]])), np.array([[3.0, 0.0], [1.0, 0.0]])
+    got = lattice._maximised(times, logp)
+    assert got[:, 1] == pytest.approx(logp[:, 1])
+    assert np.exp(got[:, 0]) == pytest.approx([3.1 / 4.2, 1.1 / 4.2])
+
+
+def test_script_without_blanks_is_learnt(spark):
+    rows = [(i, chr(0x4E00 + i % 3) * 2 + "日本語の文章は空白がないので全体が一つの長い語になる" * 3 + chr(0x4E00 + i), "ja") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    score = lambda rounds: sum(r.score for r in lattice.lattice_scores(df, "doc_id % 3 > 0", MODEL, rounds=rounds).collect() if r.doc_id % 3 == 0)
+    assert score(3) > score(0) + 100
+
+
 def test_query_by_hand(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
