@@ -515,7 +515,7 @@ def clones_jaccard(spark, sf_dir):
 
 @query()
 def clones_advanced(spark, sf_dir):
-    return clones.approximate(_t(spark, sf_dir, "benchmark"), "text", "item_id")
+    return clones.approximate(_t(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 @query("""

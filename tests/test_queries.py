@@ -19,3 +19,26 @@ def test_same_rows_as_sql(spark, sf, con, name):
 def test_runs(spark, sf, name):
     df = q.QUERIES[name](spark, sf)
     assert df.columns and df.count() >= 0
+
+
+def test_clones_advanced_by_brute_force(spark, tmp_path):
+    base = "the quick brown fox jumps over the lazy dog while the other one sleeps".split()
+    texts = [" ".join(base[: len(base) - i % 4] + [f"w{i // 8}"] * (i % 5)) for i in range(24)] + [" ".join(f"x{i}_{k}" for k in range(9)) for i in range(6)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def similarity(p, q):
+        row = list(range(len(q) + 1))
+        for i, a in enumerate(p, 1):
+            old, row = row, [i]
+            for j, b in enumerate(q, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (a != b)))
+        u, v, most = set(p), set(q), max(len(p), len(q))
+        return 0.5 * (1 - row[-1] / most) + 0.3 * len(u & v) / len(u | v) + 0.2 * min(len(p), len(q)) / most
+
+    first = {}
+    for i, text in enumerate(texts):
+        first.setdefault(text, i)
+    ids = sorted(first.values())
+    want = {(a, b): x for a in ids for b in ids if a < b and 0.7 - 1e-12 <= (x := similarity(texts[a].split(), texts[b].split())) < 0.95}
+    got = {(r.a, r.b): r.similarity for r in q.QUERIES["clones_advanced"](spark, str(tmp_path)).collect()}
+    assert len(want) > 20 and got == pytest.approx(want)
