@@ -337,6 +337,18 @@ def graph_components(spark, sf_dir):
     return graph.components(edges)
 
 
+@query()
+def graph_components_places(spark, sf_dir):
+    """All places; nations and regions are hot nodes."""
+    return graph.components(_places(spark, sf_dir))
+
+
+@query()
+def graph_components_edges(spark, sf_dir):
+    """All pairs of consecutive parts, with long paths."""
+    return graph.components(_edges(spark, sf_dir))
+
+
 @query()
 def cycles_severity(spark, sf_dir):
     found = graph.cycles(_edges(spark, sf_dir))
@@ -579,6 +591,11 @@ def snapshot_project_hash(spark, sf_dir):
     return snapshot.flat_project_hash(regions)
 
 
+@query()
+def snapshot_project_hash_documents(spark, sf_dir):
+    return snapshot.project_hash(snapshot.file_hashes(documents_as_files(_t(spark, sf_dir, "documents"))))
+
+
 @query("SELECT source || '/' || lang AS dir, count(*) AS files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines FROM documents GROUP BY ALL")
 def snapshot_structure(spark, sf_dir):
     return snapshot.structure(documents_as_files(_t(spark, sf_dir, "documents"))).select("dir", "files", "lines")

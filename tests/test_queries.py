@@ -42,3 +42,33 @@ def test_clones_advanced_by_brute_force(spark, tmp_path):
     want = {(a, b): x for a in ids for b in ids if a < b and 0.7 - 1e-12 <= (x := similarity(texts[a].split(), texts[b].split())) < 0.95}
     got = {(r.a, r.b): r.similarity for r in q.QUERIES["clones_advanced"](spark, str(tmp_path)).collect()}
     assert len(want) > 20 and got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("name, edges", [("graph_components_places", "_places"), ("graph_components_edges", "_edges")])
+def test_components_of_whole_graphs_by_union_find(spark, sf, name, edges):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for r in getattr(q, edges)(spark, sf).collect():
+        a, b = sorted((root(r.src), root(r.dst)))
+        parent[b] = a
+    assert len(parent) > 100
+    assert {r.node: r.component for r in q.QUERIES[name](spark, sf).collect()} == {x: root(x) for x in list(parent)}
+
+
+def test_project_hash_of_documents_by_hand(spark, sf):
+    import hashlib
+    import zlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    leaves = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        path = f"{r.source}/{r.lang}/{r.doc_id}"
+        leaves.setdefault(zlib.crc32(path.encode()) % 256, []).append(f"{path}:{sha(r.text)[:16]}")
+    got = q.QUERIES["snapshot_project_hash_documents"](spark, sf).first()
+    assert got.buckets == len(leaves) > 1
+    assert got.project_hash == sha("|".join(sha("|".join(sorted(leaves[b]))) for b in sorted(leaves)))
