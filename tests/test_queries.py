@@ -72,3 +72,16 @@ def test_project_hash_of_documents_by_hand(spark, sf):
     got = q.QUERIES["snapshot_project_hash_documents"](spark, sf).first()
     assert got.buckets == len(leaves) > 1
     assert got.project_hash == sha("|".join(sha("|".join(sorted(leaves[b]))) for b in sorted(leaves)))
+
+
+@pytest.mark.parametrize("copies", [0, 200])
+def test_scores_come_from_the_table(spark, tmp_path, copies):
+    # names a and b are on many lines, each own name on one; half of the table are copies of one text, or none is
+    texts = [f"a b\nown{i} a\nb" for i in range(400 - copies)] + ["a b\na\nb"] * copies
+    rows = [(i, t, len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    row = q.QUERIES["score_dimensions_measured"](spark, str(tmp_path)).first()
+    own = 400 - copies
+    assert row.dead_code == pytest.approx(100 * own / (own + 2)) and row.duplication == pytest.approx(100 * max(0, copies - 1) / 400)
+    found = {r.breakdown for r in q.QUERIES["recommendations"](spark, str(tmp_path)).collect()}
+    assert ("duplication" in found) == (copies > 0) and "dead_code" in found
