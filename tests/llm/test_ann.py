@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from brindle.llm.ann import Centroids, Settings, balanced_centroids, nearest
+from brindle.llm.ann import Centroids, Settings, balanced_centroids, fitted, nearest
 from brindle.llm.queries import oracle_sql, queries
 
 from .. import oracle
@@ -32,28 +32,51 @@ def test_recall_with_many_lists(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want = exact(rows, lambda i: i % 20 == 0)
     got = {}
-    for r in nearest(df, "vec_id % 20 = 0", settings=Settings(per_list=60)).collect():
+    for r in nearest(df, "vec_id % 20 = 0", settings=Settings(per_list=60, least=0)).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     found = sum(len({v for _, v in got[q]} & set(w)) for q, w in want.items())
     assert found / sum(map(len, want.values())) >= 0.9
     assert all(sorted(r for r, _ in g) == list(range(1, 11)) for g in got.values())
 
 
-@pytest.mark.parametrize("count, per_list", [(12_000, 20), (60_000, 25)])
-def test_recall_of_what_is_read_with_hundreds_and_thousands_of_lists(count, per_list):
-    rng, s = np.random.default_rng(6), Settings(per_list=per_list)
-    v = rng.normal(size=(count, 64))
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    lists = count // per_list
-    c = Centroids(balanced_centroids(v[: s.sample], lists, rounds=3), sample=v[: s.sample])
-    own = np.full(lists, per_list)
-    found = 0
-    for i in range(40):
+def searched(v, per_list, probes=50, **given):
+    """Recall at 10 by brute force, the shares of lists and of rows that are read, and copies of a row in lists."""
+    s = Settings(per_list=per_list, **given)
+    c = fitted(np.unique(v[: s.sample], axis=0), len(v) // per_list, 10, s)
+    posts, use = c.posts(v)
+    own = np.bincount(posts[:, 0], minlength=len(c.centres))
+    at = np.linspace(0, len(v) - 1, probes).astype(int)
+    found = rows = lists = 0
+    for i, read in zip(at, c.read(v[at], own, 11)):
         d = np.linalg.norm(v - v[i], axis=1)
         d[i] = np.inf
-        read = set(c.read(v[i], s.prune, own, 11).tolist())
-        found += sum(bool(read & set(p.tolist())) for p in c.posts(v[np.argsort(d)[:10]], s.replicas, s.closure))
-    assert found / 400 >= 0.98
+        seen = (np.isin(posts, read) & use).any(1)
+        found, rows, lists = found + seen[np.argsort(d, kind="stable")[:10]].sum(), rows + seen.mean(), lists + len(read) / len(c.centres)
+    return found / probes / 10, lists / probes, rows / probes, use.sum(1).mean()
+
+
+@pytest.mark.parametrize("count, per_list", [(12_000, 20), (60_000, 25)])
+def test_recall_of_what_is_read_without_structure(count, per_list):
+    v = np.random.default_rng(6).normal(size=(count, 64))
+    recall, *_ = searched(v / np.linalg.norm(v, axis=1)[:, None], per_list)
+    assert recall >= 0.98
+
+
+def test_pruning_and_replication_act_on_clusters():
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(200, 32))[rng.integers(0, 200, 30_000)] + 0.3 * rng.normal(size=(30_000, 32))
+    recall, lists, rows, copies = searched(v, 40)
+    assert recall >= 0.98 and lists < 0.33 and rows < 0.33 and copies > 1.05, (recall, lists, rows, copies)
+
+
+def test_queries_on_their_own_centroid_get_all_they_ask_for(spark):
+    # one common vector and ten others far apart: every query is the centroid of its list
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(1, 2971)] + [(10_000 * (i + 1), [0.0, float(i + 2), float(i * i)]) for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nearest(df, "vec_id % 10000 = 0").groupBy("query_id").count().collect()
+    assert [r["count"] for r in got] == [10] * 10
+    few = nearest(df, "vec_id % 10000 = 0", settings=Settings(per_list=2, prune=1.0, least=0)).groupBy("query_id").count().collect()
+    assert [r["count"] for r in few] == [10] * 10
 
 
 def test_recall_of_the_operator_with_hundreds_of_lists(spark):
@@ -63,7 +86,7 @@ def test_recall_of_the_operator_with_hundreds_of_lists(spark):
     rows = [(i, [float(x) for x in v[i]]) for i in range(6000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want, got = exact(rows, lambda i: i % 300 == 0), {}
-    for r in nearest(df, "vec_id % 300 = 0", settings=Settings(per_list=10)).collect():
+    for r in nearest(df, "vec_id % 300 = 0", settings=Settings(per_list=10, least=0)).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert sum(len(got[q] & set(w)) for q, w in want.items()) / sum(map(len, want.values())) >= 0.98
 
@@ -73,7 +96,7 @@ def test_small_lists_are_read_on(spark):
     rows = [(i, [float(i // 2 * 100), 1.0]) for i in range(40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in nearest(df, "vec_id % 20 = 0", settings=Settings(per_list=2)).orderBy("query_id", "rank").collect():
+    for r in nearest(df, "vec_id % 20 = 0", settings=Settings(per_list=2, least=0)).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert {q: len(g) for q, g in got.items()} == {0: 10, 20: 10}
 
@@ -81,12 +104,13 @@ def test_small_lists_are_read_on(spark):
 def test_walk_finds_the_nearest():
     rng = np.random.default_rng(4)
     c = Centroids(balanced_centroids(rng.normal(size=(3000, 8)), 200))
-    hits = 0
-    for q in rng.normal(size=(100, 8)):
-        at, d = c.walk(q, 32)
-        assert (np.diff(d) >= 0).all()
-        hits += at[0] == np.linalg.norm(c.centres - q, axis=1).argmin()
-    assert hits >= 97
+    q = rng.normal(size=(100, 8))
+    at, d = c.walk(q, 32)
+    assert (np.diff(d) >= 0).all() and all(len(set(x)) == 32 for x in at.tolist())
+    assert 4 * 32 < len(c.centres)
+    every = np.linalg.norm(q[:, None] - c.centres, axis=2)
+    assert (at[:, 0] == every.argmin(1)).mean() >= 0.97
+    assert np.allclose(np.take_along_axis(every, at, 1), d)
 
 
 def test_hot_vector_and_small_parts(spark, monkeypatch):
