@@ -356,16 +356,24 @@ def _meet(k: int):
         if not len(own) or not is_query.any():
             return
         out: list = [[], [], []]
-        for query_id, q in zip(ids[is_query], v[is_query]):
-            d = vectors - q
-            # squares summed from the first component to the last, so that every engine gets the same double
-            d = np.sqrt(np.cumsum(d * d, axis=1)[:, -1])
+        asked = v[is_query]
+        with np.errstate(all="ignore"):
+            norms = (asked * asked).sum(1)[:, None] + (vectors * vectors).sum(1)
+            rough = norms - 2 * asked @ vectors.T
+            # far above what rounding can do to a product; where numbers are too large for it, all are candidates
+            off = 1e-12 * len(vectors[0]) * norms
+            low = np.where(np.isfinite(rough) & np.isfinite(off), rough - off, -np.inf)
+            high = np.where(np.isfinite(low), rough + off, np.inf)
+        for query_id, q, least, most in zip(ids[is_query], asked, low, high):
             ok = np.flatnonzero(own != query_id)
             if len(ok) > k:
-                bound = np.partition(d[ok], k - 1)[k - 1]
-                ok = ok[d[ok] <= bound]
-            ok = ok[np.lexsort((own[ok], d[ok]))][:k]
-            for column, values in zip(out, (np.full(len(ok), query_id), own[ok], d[ok])):
+                ok = ok[least[ok] <= np.partition(most[ok], k - 1)[k - 1]]
+            # squares summed from the first component to the last, so that every engine gets the same double
+            d = vectors[ok] - q
+            d = np.sqrt(np.cumsum(d * d, axis=1)[:, -1])
+            order = np.lexsort((own[ok], d))[:k]
+            ok, d = ok[order], d[order]
+            for column, values in zip(out, (np.full(len(ok), query_id), own[ok], d)):
                 column.append(values)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
 

@@ -135,3 +135,12 @@ def test_odd_rows(spark):
     assert nearest(df.limit(0), "vec_id % 100 = 0").count() == 0
     one = spark.createDataFrame([(100, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert nearest(one, "vec_id % 100 = 0").count() == 0
+
+
+def test_huge_and_tiny_numbers(spark):
+    rows = [(i, [float(10.0 ** (200 - i)), 1e-200 * i, 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, "vec_id % 20 = 0").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == exact(rows, lambda i: i % 20 == 0)
