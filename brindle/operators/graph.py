@@ -7,12 +7,12 @@ reaches the driver.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
+from ..lineage import cut
+from .components import connected
 
 # Names of system frameworks, which count as external.
 SYSTEM_FRAMEWORKS = (
@@ -20,13 +20,6 @@ SYSTEM_FRAMEWORKS = (
 )
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-checkpoint-"))
-    return df.checkpoint()
-
-
 def resolve(imports: DataFrame, files: DataFrame, extensions: tuple[str, ...] = (".ts", ".tsx", ".js", ".jsx", ".swift")) -> DataFrame:
     """(src, specifier, dst, found): relative specifiers resolved against the importing file's folder.
 
@@ -85,7 +78,7 @@ def mutual(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, backward: bool = False) -> DataFrame:
     """(origin, node, distance): all that each `start` node reaches; itself only if it is on a cycle."""
     e = edges.select(F.col("dst").alias("_a"), F.col("src").alias("_b")) if backward else edges.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
-    e = _cut(e.distinct())
+    e = cut(e.distinct())
     frontier = start.select(F.col("node").alias("origin"), "node").distinct()
     seen, level = None, 0
     while depth is None or level < depth:
@@ -93,29 +86,18 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, backward
         new = frontier.join(e, frontier.node == e["_a"]).select("origin", F.col("_b").alias("node")).distinct()
         if seen is not None:
             new = new.join(seen, ["origin", "node"], "left_anti")
-        new = _cut(new.withColumn("distance", F.lit(level)))
+        new = cut(new.withColumn("distance", F.lit(level)))
         if new.isEmpty():
             break
-        seen = new if seen is None else _cut(seen.unionByName(new))
+        seen = new if seen is None else cut(seen.unionByName(new))
         frontier = new.select("origin", "node")
     return seen if seen is not None else start.select(F.col("node").alias("origin"), "node", F.lit(0).alias("distance")).limit(0)
 
 
 def components(edges: DataFrame, all_nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): smallest node connected with each, edges taken both ways."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    both = _cut(both)
-    labels = nodes(edges) if all_nodes is None else nodes(edges).unionByName(all_nodes.select("node")).distinct()
-    labels = _cut(labels.select("node", F.col("node").alias("component")))
-    while True:
-        near = both.join(labels, both.src == labels.node).groupBy("dst").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels.node == near.dst, "left").select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        # and on to the label that the label has
-        up = step.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        step = _cut(step.join(up, step.component == F.col("_n"), "left").select("node", F.least("component", "_c").alias("component"), "old"))
-        labels = step.select("node", "component")
-        if step.where("component <> old").isEmpty():
-            return labels
+    every = nodes(edges) if all_nodes is None else nodes(edges).unionByName(all_nodes.select("node")).distinct()
+    return every.join(connected(edges, "src", "dst"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def is_connected(edges: DataFrame, all_nodes: DataFrame | None = None) -> DataFrame:
@@ -124,18 +106,18 @@ def is_connected(edges: DataFrame, all_nodes: DataFrame | None = None) -> DataFr
 
 def topological_levels(edges: DataFrame, all_nodes: DataFrame | None = None) -> DataFrame:
     """(node, level): nodes without incoming edges are 0, then layer by layer; null on cycles and behind them."""
-    e = _cut(edges.where("src <> dst").distinct())
-    left = _cut(nodes(edges) if all_nodes is None else all_nodes.select("node").unionByName(nodes(edges)).distinct())
+    e = cut(edges.where("src <> dst").distinct())
+    left = cut(nodes(edges) if all_nodes is None else all_nodes.select("node").unionByName(nodes(edges)).distinct())
     selfish = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
     done, level = None, 0
     while True:
         free = left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").join(selfish, "node", "left_anti")
-        free = _cut(free.withColumn("level", F.lit(level)))
+        free = cut(free.withColumn("level", F.lit(level)))
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
-        left = _cut(left.join(free, "node", "left_anti"))
-        e = _cut(e.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
+        left = cut(left.join(free, "node", "left_anti"))
+        e = cut(e.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
         level += 1
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if done is None else done.unionByName(rest)
@@ -150,18 +132,18 @@ def strong_components(edges: DataFrame) -> DataFrame:
     peeled off, for each is a component of its own.
     """
     every = nodes(edges)
-    e = _cut(edges.where("src <> dst").distinct())
+    e = cut(edges.where("src <> dst").distinct())
     found = None
-    left = _cut(every)
+    left = cut(every)
     while not left.isEmpty():
         # trim
         while True:
             core = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
-            core = _cut(left.join(core, "node", "left_semi"))
+            core = cut(left.join(core, "node", "left_semi"))
             kept = e.join(core.select(F.col("node").alias("src")), "src", "left_semi").join(core.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
-            kept = _cut(kept)
+            kept = cut(kept)
             alone = left.join(core, "node", "left_anti")
-            lone = _cut(alone.select("node", F.col("node").alias("component")))
+            lone = cut(alone.select("node", F.col("node").alias("component")))
             none = lone.isEmpty()
             if not none:
                 found = lone if found is None else found.unionByName(lone)
@@ -173,24 +155,24 @@ def strong_components(edges: DataFrame) -> DataFrame:
         colours = left.select("node", F.col("node").alias("colour"))
         while True:
             near = e.join(colours, e.src == colours.node).groupBy("dst").agg(F.min("colour").alias("m"))
-            step = _cut(colours.join(near, colours.node == near.dst, "left").select("node", F.least("colour", "m").alias("colour"), F.col("colour").alias("old")))
+            step = cut(colours.join(near, colours.node == near.dst, "left").select("node", F.least("colour", "m").alias("colour"), F.col("colour").alias("old")))
             colours = step.select("node", "colour")
             if step.where("colour <> old").isEmpty():
                 break
         c1, c2 = colours.toDF("src", "c1"), colours.toDF("dst", "c2")
-        inside = _cut(e.join(c1, "src").join(c2, "dst").where("c1 = c2").select("src", "dst"))
-        members = _cut(colours.where("node = colour"))
+        inside = cut(e.join(c1, "src").join(c2, "dst").where("c1 = c2").select("src", "dst"))
+        members = cut(colours.where("node = colour"))
         frontier = members
         while True:
             back = inside.join(frontier.select(F.col("node").alias("dst"), "colour"), "dst").select(F.col("src").alias("node"), "colour").distinct()
-            frontier = _cut(back.join(members, ["node", "colour"], "left_anti"))
+            frontier = cut(back.join(members, ["node", "colour"], "left_anti"))
             if frontier.isEmpty():
                 break
-            members = _cut(members.unionByName(frontier))
+            members = cut(members.unionByName(frontier))
         got = members.select("node", F.col("colour").alias("component"))
         found = got if found is None else found.unionByName(got)
-        left = _cut(left.join(members.select("node"), "node", "left_anti"))
-        e = _cut(
+        left = cut(left.join(members.select("node"), "node", "left_anti"))
+        e = cut(
             e.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
         )
     return found if found is not None else every.select("node", F.col("node").alias("component"))
@@ -208,26 +190,26 @@ def cycles(edges: DataFrame, scc: DataFrame | None = None, most_length: int | No
     sizes = scc.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
     small = sizes if most_length is None else sizes.where(F.col("members") <= most_length)
     a, b = scc.toDF("src", "component"), scc.toDF("dst", "c2")
-    inner = _cut(
+    inner = cut(
         edges.distinct().join(a, "src").join(b, "dst").where("component = c2 and src <> dst").join(small.select("component"), "component").select("component", "src", "dst")
     )
     frontier = small.select("component", F.col("component").alias("node"))
-    seen = _cut(frontier.withColumn("parent", F.lit(None).cast(kind)))
+    seen = cut(frontier.withColumn("parent", F.lit(None).cast(kind)))
     frontier, closed = seen.select("component", "node"), None
     while not frontier.isEmpty():
         out = frontier.withColumnRenamed("node", "src").join(inner, ["component", "src"])
-        done = _cut(out.where("dst = component").groupBy("component").agg(F.min("src").alias("last")))
+        done = cut(out.where("dst = component").groupBy("component").agg(F.min("src").alias("last")))
         closed = done if closed is None else closed.unionByName(done)
         new = out.join(done, "component", "left_anti").groupBy("component", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        new = _cut(new.join(seen, ["component", "node"], "left_anti"))
-        seen = _cut(seen.unionByName(new))
+        new = cut(new.join(seen, ["component", "node"], "left_anti"))
+        seen = cut(seen.unionByName(new))
         frontier = new.select("component", "node")
     if closed is None:
         paths = small.select("component", F.lit(0).alias("length"), F.array("component").alias("cycle")).limit(0)
     else:
         paths = closed.select("component", F.col("last").alias("at"), F.array("last").alias("cycle"))
         while True:
-            paths = _cut(paths)
+            paths = cut(paths)
             if paths.where("at <> component").isEmpty():
                 break
             step = paths.join(seen.select("component", F.col("node").alias("at"), "parent"), ["component", "at"], "left")
