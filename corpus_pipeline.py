@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.cluster import shared_folder
+from brindle.lineage import shared_folder
 from brindle.llm.decontam import decontaminate
 from brindle.llm.mixing import mix
 from brindle.llm.neardup import near_duplicates
