@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .cluster import cut, parts
+from ..lineage import cut, parts
 
 #: Vectors of a list, and queries, that meet in one step; bounds the memory of a task.
 PART_ROWS, PART_QUERIES = 4096, 256

@@ -69,3 +69,28 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert got.count((5, 1, 5, True)) == 2
     assert (6, 2, 6, True) in got and (7, 2, 6, False) in got
     assert near_duplicates(no_docs).count() == 0
+
+
+def test_ids_with_several_texts_and_none(spark):
+    text = [f"a{i}" for i in range(40)]
+    near, other = text[:39] + ["changed"], [f"b{i}" for i in range(40)]
+    rows = [(1, " ".join(other)), (1, " ".join(text)), (3, " ".join(near)), (2, " ".join(other)), (None, " ".join(text)), (1, " ".join(text)), (9, "z " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, 37, 1, True), (1, 37, 1, True), (1, 37, 1, True), (3, 37, 1, False), (2, 37, 1, False), (9, 1, 9, True)])
+    for some in (df, df.orderBy("text"), df.orderBy("doc_id")):
+        got = [tuple(r) for r in near_duplicates(some, words=4).collect()]
+        assert sorted(r for r in got if r[0] is not None) == want and [r for r in got if r[0] is None] == [(None, 37, None, True)]
+
+
+def test_large_families_of_several_parts_with_outsiders(spark, monkeypatch):
+    from brindle.llm import neardup
+
+    monkeypatch.setattr(neardup, "PIECE_DOCS", 5)
+    rows = []
+    for k in range(3):
+        # a chain: each text is like the next one only, and many lists are shared by all
+        words = [f"k{k}w{i}" for i in range(90)]
+        rows += [(100 * k + i, " ".join(words[i : i + 60] + [f"k{k}c{j}" for j in range(30)])) for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, words=4).collect()}
+    assert got == brute_force(rows, 4, 80)
