@@ -35,7 +35,7 @@ from ..operators.components import connected
 from . import textkit
 
 #: Shingles and classes of a part of a block.
-PIECE_SHINGLES, PIECE_DOCS = 1_000_000, 512
+PIECE_SHINGLES, PIECE_DOCS = 1_000_000, 256
 
 
 def _signature(grams: np.ndarray, begin: np.ndarray, coordinates: int) -> np.ndarray:
