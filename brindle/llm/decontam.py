@@ -6,6 +6,10 @@ covers yet are marked again and again, found by Karp-Rabin hashes of windows
 whose length shrinks.  The share of the item under tiles does not depend on the
 order of its passages, so reordered ones count as well.
 
+Words are runs of letters, marks and digits in lower case of any alphabet; where
+a script has no blanks between words, each of its characters is one.  An item of
+fewer words than a seed is found where all of it stands together.
+
 The documents are never shuffled.  Test items are dealt to them in blocks of a
 bounded number of words; each block is broadcast once and met by all documents.
 """
@@ -17,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +29,10 @@ from . import textkit
 
 #: Words of test items in a block; 8 bytes each, and 12 for its seeds.
 BLOCK_WORDS = 4_000_000
+_MARKS = r"[^\pL\pN\pM\x00-\x7f]+"
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+#: Stands between runs of a text that are far apart; the hash of no word but by chance.
+_GAP = textkit.stream(1, 77)[0]
 
 
 def _windows(words: np.ndarray, n: int) -> np.ndarray:
@@ -80,19 +89,22 @@ def _matches(item, text, free_item, free_text, length):
     return out
 
 
-class _Items:
-    """A block of test items with the seeds that lead to them."""
+class _Seeds:
+    """Runs of `length` words of some items, and which items have them."""
 
-    def __init__(self, ids: list, words: list[np.ndarray], min_match: int):
-        self.ids, self.words = ids, words
+    def __init__(self, length: int, numbers: list[int], words: list[np.ndarray]):
+        self.length = length
         first = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
         flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
-        seeds, begin = textkit.gram_hashes(flat, first, min_match, whole_if_short=False)
-        owner = np.repeat(np.arange(len(words)), np.diff(begin))
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owner = seeds[order], owner[order]
+        seeds, begin = textkit.gram_hashes(flat, first, length, whole_if_short=False)
+        owner = np.repeat(np.array(numbers, np.int64), np.diff(begin))
+        order = np.lexsort((owner, seeds))
+        seeds, owner = seeds[order], owner[order]
+        new = np.ones(len(seeds), bool)
+        new[1:] = (seeds[1:] != seeds[:-1]) | (owner[1:] != owner[:-1])
+        self.seeds, self.owner = seeds[new], owner[new]
         self.bits = np.zeros(1 << 22, bool)
-        self.bits[(seeds >> np.uint64(42)).astype(np.int64)] = True
+        self.bits[(self.seeds >> np.uint64(42)).astype(np.int64)] = True
 
     def near(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of grams that are seeds, and the span of the seed's owners."""
@@ -102,11 +114,52 @@ class _Items:
         return at[hit], low[hit], high[hit]
 
 
+class _Items:
+    """A block of test items with the seeds that lead to them: runs of `min_match` words, or all words of a shorter item."""
+
+    def __init__(self, ids: list, words: list[np.ndarray], min_match: int):
+        self.ids, self.words = ids, words
+        self.size = np.array([len(w) for w in words], np.int64)
+        of = np.minimum(self.size, min_match)
+        self.seeds = [_Seeds(int(n), np.flatnonzero(of == n).tolist(), [words[i] for i in np.flatnonzero(of == n)]) for n in np.unique(of)]
+        # for one text at a time: where an item's last seed was, and its words under seeds
+        self.last, self.reach = np.full(len(words), -(1 << 40), np.int64), np.zeros(len(words), np.int64)
+
+    def candidates(self, seeds: _Seeds, places: np.ndarray, low: np.ndarray, high: np.ndarray, coverage: float) -> dict[int, list[int]]:
+        """Items so many of whose words may be under their seeds in a text, and where those are.
+
+        Only words under seeds can be covered.  A seed may have very many
+        owners, so items are counted in arrays and only those that can reach
+        the coverage are looked at singly.
+        """
+        met = []
+        for p, a, b in zip(places.tolist(), low.tolist(), high.tolist()):
+            own = seeds.owner[a:b]
+            self.reach[own] += np.minimum(p - self.last[own], seeds.length)
+            self.last[own] = p
+            met.append(own)
+        met = np.unique(np.concatenate(met))
+        enough = met[np.minimum(self.reach[met], self.size[met]) >= coverage * self.size[met]]
+        self.last[met], self.reach[met] = -(1 << 40), 0
+        found: dict[int, list[int]] = {int(o): [] for o in enough}
+        if found:
+            for p, a, b in zip(places.tolist(), low.tolist(), high.tolist()):
+                for o in np.intersect1d(seeds.owner[a:b], enough, assume_unique=True).tolist():
+                    found[o].append(p)
+        return found
+
+
 def _plain_words(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for a, b, data, offsets in textkit.text_chunks(column):
-        data = textkit.plain(data)
-        starts, ends, first = textkit.word_spans(data, offsets)
-        yield a, b, textkit.word_hashes(data, starts, ends), first
+    """(first row, last row, word hashes, first word of each text) of some texts at a time; null counts as the empty text."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    for at in range(0, len(column), 512):
+        some = pc.utf8_lower(pc.utf8_normalize(pc.fill_null(column.slice(at, 512).cast(pa.large_string()), ""), form="NFKC"))
+        some = pc.replace_substring_regex(pc.replace_substring_regex(some, pattern=_MARKS, replacement=" "), pattern=_UNSPACED, replacement=r" \1 ")
+        for a, b, data, offsets in textkit.text_chunks(some):
+            data = textkit.plain(data)
+            starts, ends, first = textkit.word_spans(data, offsets)
+            yield at + a, at + b, textkit.word_hashes(data, starts, ends), first
 
 
 def contaminated(
@@ -116,10 +169,12 @@ def contaminated(
     """(doc_id, item_id, item_words, covered_words, tiles, coverage) of each document and test item that it holds.
 
     A pair is returned if tiles of at least `min_match` words cover at least
-    `coverage` of the item's words.  Words are runs of letters and digits in
-    lower case.  Items of fewer than `min_match` words, null and empty texts
-    match nothing; repeated documents or items give repeated rows.  Documents
-    that hold no item have no row.
+    `coverage` of the item's words, or, of an item with fewer words, if all of
+    them stand together in the text.  Words are runs of letters and digits in
+    lower case, or single characters of scripts without blanks.  Null texts,
+    empty ones and such without words match nothing; null ids stay null;
+    repeated documents or items give repeated rows; other columns are ignored.
+    Documents that hold no item have no row, and neither have empty tables.
     """
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -133,45 +188,50 @@ def contaminated(
     return found
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, words, first in _plain_words(batch.column(1)):
+            held = [words[first[i] : first[i + 1]].tobytes() for i in range(b - a)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(held, pa.binary())], ["item_id", "words"])
+
+
 def _blocks(items: DataFrame, min_match: int, block_words: int) -> Iterator[_Items]:
-    """Items row by row from the table, as blocks that fit a broadcast; one block at least."""
+    """Items row by row, hashed where they lie, as blocks that fit a broadcast; one block at least."""
     ids, words, held, made = [], [], 0, False
-    for row in items.toLocalIterator():
-        for _, _, own, _ in _plain_words(pa.array([row[1]], pa.string())):
-            if held + len(own) > block_words and ids:
-                yield _Items(ids, words, min_match)
-                ids, words, held, made = [], [], 0, True
-            if len(own) >= min_match:
-                ids.append(row[0])
-                words.append(own)
-                held += len(own)
+    for item_id, data in items.mapInArrow(_hashed, "item_id long, words binary").toLocalIterator():
+        own = np.frombuffer(data, np.uint64)
+        if held + len(own) > block_words and ids:
+            yield _Items(ids, words, min_match)
+            ids, words, held, made = [], [], 0, True
+        if len(own):
+            ids.append(item_id)
+            words.append(own)
+            held += len(own)
     if ids or not made:
         yield _Items(ids, words, min_match)
 
 
 def _pairs(items: _Items, column: pa.Array, min_match: int, coverage: float, first_only: bool = False):
-    """(row, item, words, covered, tiles) of what is found; of each row one at most if `first_only`."""
+    """(row, item, words, covered, tiles) of what is found; with `first_only` not all of a row."""
     for a, _, words, first in _plain_words(column) if len(items.ids) else ():
-        grams, begin = textkit.gram_hashes(words, first, min_match, whole_if_short=False)
-        at, low, high = items.near(grams)
-        doc = np.searchsorted(begin, at, "right") - 1
-        for d in np.unique(doc):
-            own = words[first[d] : first[d + 1]]
-            places = defaultdict(list)
-            for p, lo, hi in zip(at[doc == d] - begin[d], low[doc == d], high[doc == d]):
-                for o in np.unique(items.owner[lo:hi]):
-                    places[o].append(p)
-            for o, where in sorted(places.items()):
-                item = items.words[o]
-                # only words under seeds can be covered
-                if min(len(item), _reach(where, min_match)) < coverage * len(item):
+        for seeds in items.seeds:
+            grams, begin = textkit.gram_hashes(words, first, seeds.length, whole_if_short=False)
+            at, low, high = seeds.near(grams)
+            doc = np.searchsorted(begin, at, "right") - 1
+            for span in np.split(np.arange(len(at)), np.flatnonzero(np.diff(doc)) + 1):
+                if not len(span):
                     continue
-                tiles = tile(item, own[_around(where, min_match, len(own))], min_match)
-                covered = sum(n for _, _, n in tiles)
-                if covered >= coverage * len(item):
-                    yield a + int(d), o, len(item), covered, len(tiles)
-                    if first_only:
-                        break
+                d = int(doc[span[0]])
+                own = words[first[d] : first[d + 1]]
+                for o, where in sorted(items.candidates(seeds, at[span] - begin[d], low[span], high[span], coverage).items()):
+                    item = items.words[o]
+                    # an item that is a seed itself is covered wherever the seed is
+                    tiles = [(0, where[0], len(item))] if len(item) == seeds.length else tile(item, _under(own, where, min_match), min_match)
+                    covered = sum(n for _, _, n in tiles)
+                    if covered >= coverage * len(item):
+                        yield a + d, o, len(item), covered, len(tiles)
+                        if first_only:
+                            break
 
 
 def _search(block, min_match: int, coverage: float):
@@ -193,9 +253,11 @@ def decontaminate(
     docs: DataFrame, items: DataFrame, min_match: int = 5, coverage: float = 0.5, block_words: int = BLOCK_WORDS,
     text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """The rows of `docs`, with all their columns, that hold none of the items in the sense of `contaminated`.
+    """The rows of `docs`, with all their columns as they are, that hold none of the items in the sense of `contaminated`.
 
-    Rows pass through one filter for each block of items; nothing is shuffled.
+    Null and empty texts stay, repeated rows stay or go alike, and without items
+    all rows stay.  Rows pass through one filter for each block of items;
+    nothing is shuffled.
     """
     place = docs.columns.index(text_col)
     for block in _blocks(items.select(F.col(item_id_col).cast("long"), F.col(item_text_col).cast("string")), min_match, block_words):
@@ -212,20 +274,12 @@ def decontaminate(
     return docs
 
 
-def _reach(where: list[int], n: int) -> int:
-    """Words of the text under seeds."""
-    gaps = np.diff(where)
-    return int(np.minimum(gaps, n).sum()) + n
-
-
-def _around(where: list[int], n: int, most: int) -> np.ndarray:
-    """The text's words under seeds, runs kept apart by one word that no item has."""
-    mask = np.zeros(most + 1, int)
-    np.add.at(mask, where, 1)
-    np.add.at(mask, np.minimum(np.array(where) + n, most), -1)
-    inside = np.cumsum(mask)[:-1] > 0
-    edge = np.zeros(most, bool)
-    edge[:-1] = inside[:-1] & ~inside[1:]
-    after = np.zeros(most, bool)
-    after[1:] = edge[:-1]
-    return np.flatnonzero(inside | after)
+def _under(words: np.ndarray, where: list[int], n: int) -> np.ndarray:
+    """The words under seeds that begin at `where`; between runs that are apart stands one word that no item has."""
+    edge = np.zeros(len(words) + 1, int)
+    np.add.at(edge, where, 1)
+    np.add.at(edge, np.array(where) + n, -1)
+    inside = np.cumsum(edge)[:-1] > 0
+    after = np.zeros(len(words), bool)
+    after[1:] = inside[:-1] & ~inside[1:]
+    return np.where(after, _GAP, words)[inside | after]

@@ -102,12 +102,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def plain(data: np.ndarray) -> np.ndarray:
-    """The bytes with ASCII and Latin-1 letters in lower case and ASCII punctuation as spaces."""
-    out = _PLAIN[data]
-    led = np.zeros(len(data), bool)
-    led[1:] = data[:-1] == 0xC3
-    out[led & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
-    return out
+    """The bytes with ASCII letters in lower case and ASCII punctuation as spaces."""
+    return _PLAIN[data]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -53,8 +53,48 @@ def test_copies_reordered_passages_and_clean_texts(spark):
     ]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r.doc_id: (r.item_id, r.item_words, r.covered_words, r.tiles) for r in contaminated(df, _items(spark)).collect()}
-    assert got == {1: (1, 12, 12, 1), 2: (1, 12, 12, 2), 7: (1, 12, 12, 1)}
-    assert {r.doc_id for r in decontaminate(df, _items(spark)).collect()} == {3, 4, 5, 6}
+    assert got == {1: (1, 12, 12, 1), 2: (1, 12, 12, 2), 7: (1, 12, 12, 1), 4: (2, 2, 2, 1)}
+    assert {r.doc_id for r in decontaminate(df, _items(spark)).collect()} == {3, 5, 6}
+
+
+def test_covered_words_as_defined_with_runs_far_apart(spark):
+    rng, texts, items = random.Random(11), [], []
+    for k in range(12):
+        items.append((k, [f"i{rng.randrange(40)}" for _ in range(rng.randrange(6, 40))]))
+    for k in range(60):
+        words = [f"t{rng.randrange(500)}" for _ in range(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(1, 7)):
+            item = rng.choice(items)[1]
+            a = rng.randrange(len(item))
+            words += item[a : a + rng.randrange(3, 14)] + [f"t{rng.randrange(500)}" for _ in range(rng.choice((0, 1, 2, 50)))]
+        texts.append((k, words))
+    want = {}
+    for d, t in texts:
+        for i, w in items:
+            n = tiles_by_definition(w, t, 5)
+            if n >= 0.4 * len(w):
+                want[d, i] = (len(w), n)
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string")
+    of = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.item_words, r.covered_words) for r in contaminated(df, of, coverage=0.4).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_two_runs_fifty_words_apart_cover_both(spark):
+    item = " ".join([f"h{i}" for i in range(1, 6)] + ["x"] + [f"k{i}" for i in range(1, 6)] + [f"z{i}" for i in range(11)])
+    text = " ".join([f"h{i}" for i in range(1, 6)] + ["k1"] + ["word"] * 50 + [f"k{i}" for i in range(1, 6)])
+    row = contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"), coverage=0.3).first()
+    assert (row.item_words, row.covered_words) == (22, 10)
+
+
+def test_other_alphabets_and_short_items(spark):
+    items = [(1, "Съешь ещё этих мягких французских булок, да выпей чаю"), (2, "世界上最高的山峰是什么"), (3, "forty two"), (4, "Ｆｕｌｌ ｗｉｄｔｈ ｌｅｔｔｅｒｓ ｏｆ ａｎ ｉｔｅｍ"), (5, "!!! ...")]
+    texts = [
+        (1, "… СЪЕШЬ ЕЩЁ ЭТИХ МЯГКИХ «ФРАНЦУЗСКИХ» БУЛОК — ДА ВЫПЕЙ ЧАЮ!"), (2, "问题：世界上最高的山峰是什么？"), (3, "it is forty-two, they say"), (4, "forty of two"),
+        (5, "full width letters of an item"), (6, "世界很大"),
+    ]
+    got = contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.coverage) for r in got} == {(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (5, 4, 1.0)}
 
 
 def test_blocks_give_the_same(spark, docs, sf):
