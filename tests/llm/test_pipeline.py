@@ -72,3 +72,58 @@ def test_packing(stages):
 def test_run(spark, sf, stages):
     assert p.run(spark, sf).count() == pytest.approx(stages[4].count(), abs=2)
     assert p.ORACLE_SQL is None
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, odd_docs):
+    """Odd rows with columns of every name that a stage might use."""
+    names = ("score", "predicted", "_id", "_copies", "_copy", "copies", "copy", "row", "size", "key", "rate", "kept", "rows", "digest", "of_source")
+    return odd_docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", *[f"'{n} of ' || coalesce(text, '-') as `{n}`" for n in names])
+
+
+def whole(df):
+    return Counter(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("stage", [f for _, f in p.STAGES], ids=[n for n, _ in p.STAGES])
+def test_stages_on_odd_rows_and_no_rows(spark, sf, clashing, stage):
+    none = stage(spark, clashing.limit(0), sf)
+    assert none.count() == 0
+    got = stage(spark, clashing, sf)
+    if stage is p.STAGES[-1][1]:
+        assert {d for r in got.collect() for d in r.doc_ids} == {1, 2, 3, 4, 5, 6, 7, 8, 9, None}
+        return
+    assert got.columns == clashing.columns == none.columns
+    before, after = whole(clashing), whole(got)
+    # values of all columns come through as they were
+    assert set(after) <= set(before)
+    left = Counter(r[0] for r in after.elements())
+    if stage is p.STAGES[1][1]:
+        assert left == {1: 1, 2: 1, 3: 1, None: 1, 4: 1, 5: 1, 6: 1, 8: 1, 9: 1}
+    if stage is p.STAGES[2][1]:
+        assert after == before
+    if stage is p.STAGES[3][1]:
+        assert all(left[i] == 1 for i in (1, 2, 3)) and max(after.values()) <= 6
+
+
+def test_every_text_of_an_id_is_kept_once(spark, sf):
+    text = [f"a{i}" for i in range(40)]
+    rows = [(1, "quite another text", "a"), (1, " ".join(text), "a"), (1, " ".join(text), "b"), (3, " ".join(text[:39] + ["changed"]), "a"), (None, "x", "a"), (None, "x", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = p.near_dedup(spark, df, sf).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == {(1, "quite another text"): 1, (1, " ".join(text)): 1, (None, "x"): 2}
+
+
+def test_rows_without_ids_do_not_share_their_copies(spark, sf):
+    rows = [(None, f"words {i} of the one", "a") for i in range(300)] + [(i, f"words {i} of the other", "b") for i in range(300)]
+    got = p.mixing(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), sf).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in got} == {"a": 200, "b": 400}
+
+
+def test_run_leaves_only_the_result(spark, sf):
+    import glob
+    import urllib.parse
+
+    files = p.run(spark, sf).inputFiles()
+    folder = urllib.parse.urlparse(files[0]).path.rsplit("/", 2)[0]
+    assert [f.rsplit("/", 1)[1] for f in glob.glob(f"{folder}/*")] == ["packing"]
