@@ -6,17 +6,24 @@ score is its marginal probability and not that of one segmentation.  No piece
 of such a vocabulary crosses a word's beginning, so the recursion over a text
 is the product of those over its words and each distinct word is worked once.
 
-The inventory of pieces is never trained.  Its scores (log probabilities of a
-unigram model, or the merge ranks of a BPE model, read as 1 / (rank + 1)) are
-where expectation-maximisation over the training documents' distinct words
-starts from.  A word seen in training is one more edge of its lattice, from
-its start to its end, weighted by its count less an estimated absolute discount; what the
-discounts free is the weight of spelling a word in pieces.  Both together are
-a proper distribution over texts.
-
-Languages spell differently, so every class of training documents (the values
-of a column such as the language) has weights of its own.  A document's class
-is not given: its probability is summed over classes as over segmentations.
+The vocabulary's own scores (log probabilities of a unigram model, or the merge
+ranks of a BPE model, read as 1 / (rank + 1)) weight all segmentations in
+`lattice_score`, in which nothing is trained.  `score` is the trained model:
+
+* The inventory of pieces stays; their weights start from the vocabulary's
+  scores and go through expectation-maximisation over the distinct words of the
+  training documents.
+* A word seen in training is one more edge of its lattice, from its start to
+  its end, weighted by its count less an estimated absolute discount; what the
+  discounts free is the weight of spelling a word in pieces.
+* Languages spell differently, so every class of training documents (the values
+  of a column such as the language) has weights of its own.  A document's class
+  is not given: its probability is summed over classes as over segmentations.
+* A text repeats its own words.  Each next word is drawn from those before it in
+  the text with probability i / (i + c) after i words, and anew otherwise; the
+  strength c of new draws is summed over too, as it differs between texts.
+
+All of it together is a proper distribution over texts.
 
 Word counts are taken over all training documents.  For the sums per document
 the most frequent words, a number bounded by a parameter, are looked up in a
@@ -37,8 +44,10 @@ from . import textkit
 from ..lineage import cut
 
 #: Words looked up in the broadcast table are those with at least this part of all occurrences, so no more than
-#: so many; 24 bytes each.
-HOT_WORDS = 1 << 20
+#: so many; 33 bytes each and 8 for each class, 55 MB at most.
+HOT_WORDS = 1 << 19
+#: Strengths of new draws against words of the text itself.
+DRAWS = (100.0, 10_000.0)
 #: Classes of documents with weights of their own, besides one for the rest.
 MOST_CLASSES = 8
 _LONG = 48
@@ -291,21 +300,30 @@ def _own_hashes(words: list[bytes]) -> np.ndarray:
     return textkit.word_hashes(np.frombuffer(b"".join(words), np.uint8), ends - sizes, ends)
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers: Stirling's series, ten further up."""
+    y = x + 10.0
+    series = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return series - sum(np.log(x + k) for k in range(10))
+
+
 def lattice_scores(
-    docs: DataFrame, training: str, vocabulary: str, rounds: int = 5, hot_words: int = HOT_WORDS,
+    docs: DataFrame, training: str, vocabulary: str, rounds: int = 5, hot_words: int = HOT_WORDS, draws: tuple[float, ...] = DRAWS,
     id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang",
 ) -> DataFrame:
-    """One row for each row of `docs`: (doc_id, n_tokens, n_known, train_tokens, base_score, score).
+    """One row for each row of `docs`: (doc_id, n_tokens, n_known, train_tokens, base_score, score, lattice_score).
 
     `training` is a SQL predicate over `docs` naming the documents to learn
     from.  Tokens are lower-cased words and one end.  base_score: the smoothed
     word unigram model; score: log10 of the marginal probability of the text,
-    its end included, over all classes and segmentations.  Classes are the
-    commonest values of `class_col` in training, and one for all others; a
-    text's own value is not looked at, and without the column there is one
-    class.  Null and empty texts have the end alone; without training documents
-    the vocabulary's own scores are used and no token is known.  Repeated rows
-    give repeated results.
+    its end included, over all classes, strengths and segmentations;
+    lattice_score: log10 of the marginal probability of its words over all
+    segmentations by the vocabulary's own scores.  Classes are the commonest
+    values of `class_col` in training, and one for all others; a text's own
+    value is not looked at, and without the column there is one class.  Null
+    and empty texts have the end alone; without training documents the
+    vocabulary's own scores are used and no token is known.  Repeated rows give
+    repeated results; other columns are ignored.
     """
     spark = docs.sparkSession
     pieces = load_pieces(vocabulary)
@@ -367,101 +385,125 @@ def lattice_scores(
         times = np.zeros(logp.size)
         times[rows["piece"].to_numpy()] += rows["times"].to_numpy()
         logp = _maximised(times.reshape(logp.shape), logp)
-    model = spark.sparkContext.broadcast((pieces, logp))
+    # the vocabulary's own weights beside those of the classes
+    model = spark.sparkContext.broadcast((pieces, np.column_stack([pieces.logp, logp])))
 
     log10 = math.log(10)
     base_of = lambda c: np.log10((c + 0.5) / below)
-    sizes = np.maximum(words + ends, 1)
-    spelled = np.log(np.maximum(discount * distinct, 0.5) / sizes) if n else np.zeros(classes)
-
-    def word_scores(words: list[bytes], c: np.ndarray) -> np.ndarray:
-        """log10 of each word's probability in each class."""
-        pieces, logp = model.value
-        edge = np.log(np.maximum(c - discount, 0) / sizes, where=c > 0, out=np.full(c.shape, -np.inf))
-        return np.logaddexp(edge, spelled + marginals([b" " + w for w in words], pieces, logp)) / log10
+    spelled = np.log(np.maximum(discount * distinct, 0.5) / np.maximum(words, 1)) if n else np.zeros(classes)
+    of_class = [f"t{k}" for k in range(classes)]
+    table_schema = "key long, k long, b double, v double, " + ", ".join(f"{x} double" for x in of_class)
 
-    # words of at least 1 / hot_words of all words are hot_words at most
-    top = counted.where(F.col("c_all") >= max(1.0, every / hot_words)).select("word", *train).toPandas()
-    top_words = [bytes(w) for w in top["word"]]
-    c = top[train].to_numpy().astype(np.int64).reshape(len(top), classes)
-    hashes = _own_hashes(top_words)
-    order = np.argsort(hashes)
-    total = c.sum(1)[order]
-    hot = spark.sparkContext.broadcast((hashes[order], total > 0, base_of(total), word_scores(top_words, c)[order]))
-    end_p = np.log10(np.maximum(ends, 0.5) / sizes) if n else np.full(classes, -3.0)
-    end = (int(ends.any()), float(base_of(ends.sum())), end_p)
-    lattice = [f"l{k}" for k in range(classes)]
-    doubles = ", ".join(f"{x} double" for x in lattice)
-
-    def rest(batches):
+    def score_words(batches):
+        """Of words: the hash, whether one is known, log10 of its probability in the base model, the vocabulary's and each class's."""
+        pieces, weights = model.value
         for batch in _gathered(batches, 50_000):
             got = batch.column(0).to_pylist()
             c = np.column_stack([batch.column(1 + k).to_numpy() for k in range(classes)])
             total = c.sum(1)
+            spelt = marginals([b" " + w for w in got], pieces, weights)
+            edge = np.log(np.maximum(c - discount, 0) / np.maximum(words, 1), where=c > 0, out=np.full(c.shape, -np.inf))
+            own = np.logaddexp(edge, spelled + spelt[:, 1:]) / log10
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_own_hashes(got).view(np.int64)), pa.array((total > 0).astype(np.int64)), pa.array(base_of(total)), *map(pa.array, word_scores(got, c).T.copy())],
-                ["h", "known", "base", *lattice],
+                [pa.array(_own_hashes(got).view(np.int64)), pa.array((total > 0).astype(np.int64)), pa.array(base_of(total)), pa.array(spelt[:, 0] / log10), *map(pa.array, own.T.copy())],
+                ["key", "k", "b", "v", *of_class],
             )
 
-    names = ["doc_id", "digest", "h", "times", "rows", "tokens", "known", "base", *lattice]
-    schema = "doc_id long, digest long, h long, times long, rows long, tokens long, known long, base double, " + doubles
+    # words of at least 1 / hot_words of all words are hot_words at most
+    is_hot = F.col("c_all") >= max(1.0, every / hot_words)
+    top = counted.where(is_hot).select("word", *train).mapInArrow(score_words, table_schema).toPandas()
+    hashes = top["key"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    column = lambda c: top[c].to_numpy().astype(float)[order]
+    hot = spark.sparkContext.broadcast((hashes[order], column("k") > 0, column("b"), column("v"), [column(c) for c in of_class]))
+    # the end's part of all tokens of a class, and what is left for words
+    share = np.maximum(ends, 0.5) / np.maximum(words + ends, 1) if n else np.full(classes, 1e-3)
+    share = np.minimum(share, 1 - 1e-9)
+    end_p, word_p = np.log10(share), np.log10(1 - share)
+    end = (int(ends.any()), float(base_of(ends.sum())))
+    models = [(k, c) for k in range(classes) for c in draws]
+    lattice = [f"l{i}" for i in range(len(models))]
+
+    names = ["doc_id", "digest", "h", "times", "rows", "tokens", "known", "base", "vocab", *lattice]
+    schema = "doc_id long, digest long, h long, times long, rows long, tokens long, known long, base double, vocab double, " + ", ".join(f"{x} double" for x in lattice)
 
     def look_up(batches):
-        table, known, base, scores = hot.value
+        table, known, base, vocab, scores = hot.value
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, offsets in textkit.text_chunks(batch.column(1)):
                 starts, ends_, first = textkit.word_spans(data, offsets)
                 hashes = textkit.word_hashes(data, starts, ends_)
-                count = np.diff(first)
+                count, digest = np.diff(first), _digests(hashes, first)
+                # each text's distinct words and how often it has them
                 text = np.repeat(np.arange(b - a), count)
-                digest = _digests(hashes, first)
-                place = np.minimum(np.searchsorted(table, hashes), max(len(table) - 1, 0))
-                hit = table[place] == hashes if len(table) else np.zeros(len(hashes), bool)
-                of, at = text[hit], place[hit]
-                sums = [np.bincount(of, x[at], b - a) for x in (known.astype(float), base, *scores.T)]
+                order = np.lexsort((hashes, text))
+                h, t = hashes[order], text[order]
+                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])]) if len(h) else np.zeros(0, np.int64)
+                times, h, t = np.diff(np.r_[new, len(h)]), h[new], t[new]
+                place = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
+                hit = table[place] == h if len(table) else np.zeros(len(h), bool)
+                of, at, m = t[hit], place[hit], times[hit]
+                total = lambda x: np.bincount(of, x, b - a).astype(float)
+                again = np.flatnonzero(m > 1)
+                sums = []
+                for k, c in models:
+                    p = scores[k][at]
+                    x = p + math.log10(c)
+                    fresh = c * 10.0 ** p[again]
+                    x[again] += (_log_gamma(m[again] + fresh) - _log_gamma(1 + fresh)) / log10
+                    drawn = (_log_gamma(count + c) - _log_gamma(np.full(b - a, c))) / log10
+                    sums.append(pa.array(total(x) - drawn + count * word_p[k] + end_p[k]))
                 one, zero = np.ones(b - a, np.int64), np.zeros(b - a, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[a:b], pa.array(digest), pa.nulls(b - a, pa.int64()), pa.array(zero), pa.array(one), pa.array(count + 1),
-                        pa.array(sums[0].astype(np.int64) + end[0]), pa.array(sums[1] + end[1]), *[pa.array(x + e) for x, e in zip(sums[2:], end[2])],
+                        pa.array(total(known[at] * m).astype(np.int64) + end[0]), pa.array(total(base[at] * m) + end[1]), pa.array(total(vocab[at] * m)), *sums,
                     ],
                     names,
                 )
                 left = np.flatnonzero(~hit)
                 if len(left):
-                    order = np.lexsort((hashes[left], text[left]))
-                    h, t = hashes[left][order], text[left][order]
-                    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])])
-                    times = np.diff(np.r_[new, len(h)])
-                    own = ids[a:b].take(pa.array(t[new]))
-                    zero, none = np.zeros(len(new), np.int64), np.zeros(len(new))
+                    zero, none = np.zeros(len(left), np.int64), np.zeros(len(left))
                     yield pa.RecordBatch.from_arrays(
-                        [own, pa.array(digest[t[new]]), pa.array(h[new].view(np.int64)), pa.array(times), *[pa.array(zero)] * 3, *[pa.array(none)] * (1 + classes)], names
+                        [
+                            ids[a:b].take(pa.array(t[left])), pa.array(digest[t[left]]), pa.array(h[left].view(np.int64)), pa.array(times[left]),
+                            *[pa.array(zero)] * 3, *[pa.array(none)] * (2 + len(models)),
+                        ],
+                        names,
                     )
 
     looked = given.select("doc_id", "text").mapInArrow(look_up, schema)
-    table = counted.select("word", *train).mapInArrow(rest, "h long, known long, base double, " + doubles).select(
-        F.col("h").alias("key"), F.col("known").alias("k"), F.col("base").alias("b"), *[F.col(x).alias(f"t{x}") for x in lattice]
-    )
+    table = counted.where(~is_hot).select("word", *train).mapInArrow(score_words, table_schema)
     # rows without a word are dealt out by their document, not by the null key
     keyed = looked.withColumn("key", F.coalesce("h", F.xxhash64("doc_id", "digest")))
-    of_word = lambda x: F.when(F.col("h").isNotNull(), F.coalesce(x, F.lit(0)) * F.col("times")).otherwise(0)
+    is_word = F.col("h").isNotNull() & F.col("b").isNotNull()
+    times_ = lambda x: F.when(is_word, F.col(x) * F.col("times")).otherwise(0)
+
+    def drawn(k: int, c: float):
+        """log10 of c p (1 + c p) (2 + c p) ... for the repeats of a word of probability p."""
+        p = F.col(of_class[k])
+        repeats = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("times") - 1, F.lit(0)))
+        more = F.aggregate(repeats, F.lit(0.0), lambda acc, j: acc + F.when(j > 0, F.log10(j + c * F.pow(F.lit(10.0), p))).otherwise(0.0))
+        return F.when(is_word, p + math.log10(c) + F.when(F.col("times") > 1, more).otherwise(0.0)).otherwise(0.0)
+
     sums = (
         keyed.join(table, "key", "left")
         .groupBy("doc_id", "digest")
         .agg(
-            F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), F.sum(F.col("known") + of_word(F.col("k"))).alias("known"),
-            F.sum(F.col("base") + of_word(F.col("b"))).alias("base"), *[F.sum(F.col(x) + of_word(F.col(f"t{x}"))).alias(x) for x in lattice],
+            F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), F.sum(F.col("known") + times_("k")).alias("known"),
+            F.sum(F.col("base") + times_("b")).alias("base"), F.sum(F.col("vocab") + times_("v")).alias("vocab"),
+            *[F.sum(F.col(x) + drawn(k, c)).alias(x) for x, (k, c) in zip(lattice, models)],
         )
     )
     prior = np.log10(np.maximum(ends, 0.5) / max(ends.sum(), 1)) if n else np.zeros(1)
-    by_class = [F.col(x) / F.col("rows") + float(p) for x, p in zip(lattice, prior)]
-    best = F.greatest(*by_class) if classes > 1 else by_class[0]
-    score = best + F.log10(sum((F.pow(F.lit(10.0), F.greatest(x - best, F.lit(-300.0))) for x in by_class), F.lit(0.0)))
+    ways = [F.col(x) / F.col("rows") + float(prior[k]) - math.log10(len(draws)) for x, (k, _) in zip(lattice, models)]
+    best = F.greatest(*ways) if len(ways) > 1 else ways[0]
+    score = best + F.log10(sum((F.pow(F.lit(10.0), F.greatest(x - best, F.lit(-300.0))) for x in ways), F.lit(0.0)))
     return sums.select(
         "doc_id", F.expr("tokens div rows").alias("n_tokens"), F.expr("known div rows").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"), score.alias("score"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"),
+        (F.col("base") / F.col("rows")).alias("base_score"), score.alias("score"), (F.col("vocab") / F.col("rows")).alias("lattice_score"),
+        F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"),
     ).drop("copy")
 
 

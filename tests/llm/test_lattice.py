@@ -88,6 +88,84 @@ def test_query_by_hand(spark, sf):
         assert r.score < 0
 
 
+def spelled_by_definition(word, weight):
+    """Sum over all segmentations, from the end."""
+    after = [0.0] * len(word) + [1.0]
+    for k in reversed(range(len(word))):
+        after[k] = sum(weight.get(word[k:j], 0.0) * after[j] for j in range(k + 1, len(word) + 1))
+    return after[0]
+
+
+def expected_by_definition(word, weight):
+    """Expected uses of pieces in one word, from forward and backward sums."""
+    n = len(word)
+    fore, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for j in range(1, n + 1):
+        fore[j] = sum(fore[k] * weight.get(word[k:j], 0.0) for k in range(j))
+    for k in reversed(range(n)):
+        back[k] = sum(weight.get(word[k:j], 0.0) * back[j] for j in range(k + 1, n + 1))
+    uses = Counter()
+    for k in range(n):
+        for j in range(k + 1, n + 1):
+            uses[word[k:j]] += fore[k] * weight.get(word[k:j], 0.0) * back[j] / back[0]
+    return {p: x for p, x in uses.items() if p in weight}
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_score_by_definition(spark, docs, rounds):
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect() if len(r.text) < 1500][:60]
+    rows += [(90_000, "", "en"), (90_001, "x " * 300, "de"), (90_002, "ab ab ab zzzqq zzzqq", "fr")]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = {i: (re.findall(r"[^\x20\x09-\x0D]+", t.translate(low)), c) for i, t, c in rows}
+    training = {i for i in texts if i % 3 > 0}
+    names = Counter(texts[i][1] for i in training)
+    pieces = lattice.load_pieces(MODEL)
+    existing = dict(zip(pieces.pieces, np.exp(pieces.logp).tolist()))
+    classes = []
+    for name, ends in names.items():
+        count = Counter(w for i in training if texts[i][1] == name for w in texts[i][0])
+        once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+        weight = existing
+        for _ in range(rounds):
+            uses = Counter()
+            for w in count:
+                uses.update(expected_by_definition(b" " + w.encode(), weight))
+            total = sum(uses.values()) + 0.1 * len(weight)
+            weight = {p: (uses[p] + 0.1) / total for p in weight}
+        classes.append((ends, count, min(max((once + 1) / (once + 2 * twice + 2), 0.1), 0.95), weight))
+
+    def log_score(words):
+        ways = []
+        for ends, count, discount, weight in classes:
+            all_words = sum(count.values())
+            for strength in lattice.DRAWS:
+                total, seen = math.log(ends / len(training)) - math.log(len(lattice.DRAWS)), Counter()
+                for k, w in enumerate(words):
+                    p = max(count[w] - discount, 0) / all_words + discount * len(count) / all_words * spelled_by_definition(b" " + w.encode(), weight)
+                    total += math.log(all_words / (all_words + ends)) + math.log((seen[w] + strength * p) / (k + strength))
+                    seen[w] += 1
+                ways.append(total + math.log(ends / (all_words + ends)))
+        top = max(ways)
+        return (top + math.log(sum(math.exp(x - top) for x in ways))) / math.log(10)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in lattice.lattice_scores(df, "doc_id % 3 > 0", MODEL, rounds=rounds, hot_words=300).collect()}
+    for i, (words, _) in texts.items():
+        assert got[i].score == pytest.approx(log_score(words), rel=1e-7)
+        assert got[i].lattice_score == pytest.approx(sum(math.log10(spelled_by_definition(b" " + w.encode(), existing)) for w in words), rel=1e-7)
+
+
+def test_held_out_texts_are_likelier_than_by_the_base(spark, sf):
+    rows = [r for r in queries()["op3_lattice"](spark, sf.replace("0.001", "0.01")).collect() if r.held_out]
+    score, base = sum(r.score for r in rows), sum(r.base_score for r in rows)
+    assert score > base, (score / sum(r.n_tokens for r in rows), base / sum(r.n_tokens for r in rows))
+
+
+def test_log_gamma():
+    x = np.concatenate([np.geomspace(1e-9, 1e9, 200), [1.0, 2.0]])
+    assert lattice._log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-11)
+
+
 def test_few_or_many_words_in_the_table_give_the_same(spark, docs):
     few = {r.doc_id: r for r in lattice.lattice_scores(docs, "doc_id % 3 > 0", MODEL, hot_words=1).collect()}
     for r in lattice.lattice_scores(docs, "doc_id % 3 > 0", MODEL).collect():
