@@ -44,8 +44,8 @@ from . import textkit
 from ..lineage import cut
 
 #: Words looked up in the broadcast table are those with at least this part of all occurrences, so no more than
-#: so many; 33 bytes each and 8 for each class, 55 MB at most.
-HOT_WORDS = 1 << 19
+#: so many; 25 bytes each and 8 for each class, 97 MB at most.
+HOT_WORDS = 1 << 20
 #: Strengths of new draws against words of the text itself.
 DRAWS = (100.0, 10_000.0)
 #: Classes of documents with weights of their own, besides one for the rest.
@@ -424,6 +424,7 @@ def lattice_scores(
     models = [(k, c) for k in range(classes) for c in draws]
     lattice = [f"l{i}" for i in range(len(models))]
 
+    plain = [f"s{k}" for k in range(classes)]
     names = ["doc_id", "digest", "h", "times", "rows", "tokens", "known", "base", "vocab", *lattice]
     schema = "doc_id long, digest long, h long, times long, rows long, tokens long, known long, base double, vocab double, " + ", ".join(f"{x} double" for x in lattice)
 
@@ -435,15 +436,12 @@ def lattice_scores(
                 starts, ends_, first = textkit.word_spans(data, offsets)
                 hashes = textkit.word_hashes(data, starts, ends_)
                 count, digest = np.diff(first), _digests(hashes, first)
-                # each text's distinct words and how often it has them
                 text = np.repeat(np.arange(b - a), count)
-                order = np.lexsort((hashes, text))
-                h, t = hashes[order], text[order]
-                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])]) if len(h) else np.zeros(0, np.int64)
-                times, h, t = np.diff(np.r_[new, len(h)]), h[new], t[new]
-                place = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
-                hit = table[place] == h if len(table) else np.zeros(len(h), bool)
-                of, at, m = t[hit], place[hit], times[hit]
+                place = np.minimum(np.searchsorted(table, hashes), max(len(table) - 1, 0))
+                hit = table[place] == hashes if len(table) else np.zeros(len(hashes), bool)
+                # each text's distinct words and how often it has them
+                pairs, m = np.unique(text[hit] * len(table) + place[hit], return_counts=True)
+                of, at = np.divmod(pairs, max(len(table), 1))
                 total = lambda x: np.bincount(of, x, b - a).astype(float)
                 again = np.flatnonzero(m > 1)
                 sums = []
@@ -462,13 +460,17 @@ def lattice_scores(
                     ],
                     names,
                 )
-                left = np.flatnonzero(~hit)
-                if len(left):
-                    zero, none = np.zeros(len(left), np.int64), np.zeros(len(left))
+                h, t = hashes[~hit], text[~hit]
+                if len(h):
+                    order = np.lexsort((h, t))
+                    h, t = h[order], t[order]
+                    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])])
+                    times, h, t = np.diff(np.r_[new, len(h)]), h[new], t[new]
+                    none = pa.nulls(len(h), pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids[a:b].take(pa.array(t[left])), pa.array(digest[t[left]]), pa.array(h[left].view(np.int64)), pa.array(times[left]),
-                            *[pa.array(zero)] * 3, *[pa.array(none)] * (2 + len(models)),
+                            ids[a:b].take(pa.array(t)), pa.array(digest[t]), pa.array(h.view(np.int64)), pa.array(times),
+                            *[none] * 3, *[none.cast(pa.float64())] * (2 + len(models)),
                         ],
                         names,
                     )
@@ -478,26 +480,29 @@ def lattice_scores(
     # rows without a word are dealt out by their document, not by the null key
     keyed = looked.withColumn("key", F.coalesce("h", F.xxhash64("doc_id", "digest")))
     is_word = F.col("h").isNotNull() & F.col("b").isNotNull()
-    times_ = lambda x: F.when(is_word, F.col(x) * F.col("times")).otherwise(0)
+    of_word = lambda x: F.when(is_word, x)
 
-    def drawn(k: int, c: float):
-        """log10 of c p (1 + c p) (2 + c p) ... for the repeats of a word of probability p."""
-        p = F.col(of_class[k])
-        repeats = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("times") - 1, F.lit(0)))
-        more = F.aggregate(repeats, F.lit(0.0), lambda acc, j: acc + F.when(j > 0, F.log10(j + c * F.pow(F.lit(10.0), p))).otherwise(0.0))
-        return F.when(is_word, p + math.log10(c) + F.when(F.col("times") > 1, more).otherwise(0.0)).otherwise(0.0)
+    def repeats(k: int, c: float):
+        """log10 of (1 + c p) (2 + c p) ... for the repeats of a word of probability p."""
+        steps = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("times") - 1, F.lit(0)))
+        more = F.aggregate(steps, F.lit(0.0), lambda acc, j: acc + F.when(j > 0, F.log10(j + c * F.pow(F.lit(10.0), of_class[k]))).otherwise(0.0))
+        return F.when(is_word & (F.col("times") > 1), more)
 
     sums = (
         keyed.join(table, "key", "left")
         .groupBy("doc_id", "digest")
         .agg(
-            F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), F.sum(F.col("known") + times_("k")).alias("known"),
-            F.sum(F.col("base") + times_("b")).alias("base"), F.sum(F.col("vocab") + times_("v")).alias("vocab"),
-            *[F.sum(F.col(x) + drawn(k, c)).alias(x) for x, (k, c) in zip(lattice, models)],
+            F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), F.sum(F.coalesce("known", of_word(F.col("k") * F.col("times")))).alias("known"),
+            F.sum(F.coalesce("base", of_word(F.col("b") * F.col("times")))).alias("base"), F.sum(F.coalesce("vocab", of_word(F.col("v") * F.col("times")))).alias("vocab"),
+            # a text's words beyond the table: how many, their logarithms by class, and what their repeats add
+            F.count_if(is_word).alias("new"), *[F.coalesce(F.sum(of_word(F.col(x))), F.lit(0.0)).alias(p) for x, p in zip(of_class, plain)],
+            *[F.sum(F.coalesce(x, repeats(k, c))).alias(x) for x, (k, c) in zip(lattice, models)],
         )
     )
     prior = np.log10(np.maximum(ends, 0.5) / max(ends.sum(), 1)) if n else np.zeros(1)
-    ways = [F.col(x) / F.col("rows") + float(prior[k]) - math.log10(len(draws)) for x, (k, _) in zip(lattice, models)]
+    ways = [
+        (F.col(x) + F.col(plain[k]) + F.col("new") * math.log10(c)) / F.col("rows") + float(prior[k]) - math.log10(len(draws)) for x, (k, c) in zip(lattice, models)
+    ]
     best = F.greatest(*ways) if len(ways) > 1 else ways[0]
     score = best + F.log10(sum((F.pow(F.lit(10.0), F.greatest(x - best, F.lit(-300.0))) for x in ways), F.lit(0.0)))
     return sums.select(
