@@ -234,21 +234,31 @@ def _maximised(times: np.ndarray, logp: np.ndarray) -> np.ndarray:
     return np.where(times.any(0), np.log(some) - np.log(some.sum(0)), logp)
 
 
+def _cut_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte strings of `data` between `starts` and `ends`."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
 def _count(classes: int):
     """(word, c_all, c0, ...): occurrences in all texts and in the training texts of each class; summed while memory allows."""
     names = ["word", "c_all", *[f"c{k}" for k in range(classes)]]
 
     def summed(held):
+        if len(held) == 1:
+            return held
         h, counts = (np.concatenate(x) for x in list(zip(*held))[:2])
-        words = [w for x in held for w in x[2]]
         _, at, back = np.unique(h, return_index=True, return_inverse=True)
-        return [(h[at], np.column_stack([np.bincount(back, c) for c in counts.T]), [words[i] for i in at])]
+        words = pa.concat_arrays([x[2] for x in held]).take(pa.array(at))
+        return [(h[at], np.column_stack([np.bincount(back, c) for c in counts.T]), words)]
 
     def out(held):
         _, counts, words = summed(held)[0]
+        words = words.cast(pa.binary())
         for a in range(0, len(words), 50_000):
-            b = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(words[b], pa.binary()), *[pa.array(c.astype(np.int64)) for c in counts[b].T]], names)
+            yield pa.RecordBatch.from_arrays([words[a : a + 50_000], *[pa.array(c.astype(np.int64)) for c in counts[a : a + 50_000].T]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -261,9 +271,10 @@ def _count(classes: int):
                 hashes = textkit.word_hashes(data, starts, ends)
                 own = np.repeat(class_of[a:b], np.diff(first))
                 h, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-                low = textkit.lower(data).tobytes()
-                counts = np.column_stack([np.bincount(back), *[np.bincount(back, own == k) for k in range(classes)]])
-                held.append((h, counts, [low[s:e] for s, e in zip(starts[at], ends[at])]))
+                # occurrences by class, the column before them for texts that are not learnt from
+                by = np.bincount(back * (classes + 1) + own + 1, minlength=len(h) * (classes + 1)).reshape(len(h), classes + 1)
+                counts = np.column_stack([by.sum(1), by[:, 1:]])
+                held.append((h, counts, _cut_out(textkit.lower(data), starts[at], ends[at])))
             if sum(len(x[0]) for x in held) > _FLUSH:
                 held = summed(held)
                 if len(held[0][0]) > _FLUSH // 2:
@@ -307,6 +318,19 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return series - sum(np.log(x + k) for k in range(10))
 
 
+def _rising(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Logarithms of (1 + x) (2 + x) ... (m - 1 + x), for m of 2 and more."""
+    out = np.log1p(x)
+    few = m <= 12
+    for j in range(2, 12):
+        more = np.flatnonzero(few & (m > j))
+        if len(more):
+            out[more] += np.log(j + x[more])
+    many = np.flatnonzero(~few)
+    out[many] = _log_gamma(m[many] + x[many]) - _log_gamma(1 + x[many])
+    return out
+
+
 def lattice_scores(
     docs: DataFrame, training: str, vocabulary: str, rounds: int = 5, hot_words: int = HOT_WORDS, draws: tuple[float, ...] = DRAWS,
     id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang",
@@ -449,7 +473,7 @@ def lattice_scores(
                     p = scores[k][at]
                     x = p + math.log10(c)
                     fresh = c * 10.0 ** p[again]
-                    x[again] += (_log_gamma(m[again] + fresh) - _log_gamma(1 + fresh)) / log10
+                    x[again] += _rising(fresh, m[again]) / log10
                     drawn = (_log_gamma(count + c) - _log_gamma(np.full(b - a, c))) / log10
                     sums.append(pa.array(total(x) - drawn + count * word_p[k] + end_p[k]))
                 one, zero = np.ones(b - a, np.int64), np.zeros(b - a, np.int64)

@@ -161,6 +161,11 @@ def test_held_out_texts_are_likelier_than_by_the_base(spark, sf):
     assert score > base, (score / sum(r.n_tokens for r in rows), base / sum(r.n_tokens for r in rows))
 
 
+def test_rising_products():
+    x, m = np.geomspace(1e-12, 1e4, 80), np.tile([2, 3, 11, 12, 13, 5000, 2, 7], 10)
+    assert lattice._rising(x, m) == pytest.approx([sum(math.log(j + v) for j in range(1, k)) for v, k in zip(x, m.tolist())], rel=1e-11, abs=1e-11)
+
+
 def test_log_gamma():
     x = np.concatenate([np.geomspace(1e-9, 1e9, 200), [1.0, 2.0]])
     assert lattice._log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-11)
