@@ -1,14 +1,16 @@
 """K-d tree sharding: shards of near equal bytes that are compact in metadata.
 
-Equal texts form a group and stay in one shard.  Groups of more than a
-hundredth of a shard's target are few by arithmetic (a hundred a shard at
-most); they are placed first, the largest to the emptiest shard, and one that
+Equal texts form a group and stay in one shard.  Groups of more than a certain
+share of a shard's target are few by arithmetic (33 a shard at most); they are
+placed first, the largest to the emptiest shard, and one that
 no shard has room for is dealt in pieces, for otherwise the law could not hold.  All
 other groups go down the tree: each node is cut along its widest dimension at
 the weighted quantile that leaves both sides the bytes their shards still want,
 which is the median where nothing was placed before.  Quantiles are found by
 counting bytes in bins and looking into one bin again, so the driver sees a
-bounded number of bins and never a document.  DataFrame code only.
+bounded number of bins and never a document.  Strings are dimensions by their
+rank, weighted by bytes, so that values which share a long prefix are as far
+apart as what lies between them.  DataFrame code only.
 """
 
 from __future__ import annotations
@@ -22,29 +24,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..lineage import cut
+from ..lineage import cut, parts
 
 #: Share of a shard's target from which a group is placed by itself, and from which its pieces are counted.
-HEAVY, OVERSIZE = 0.01, 0.25
+HEAVY, OVERSIZE = 0.03, 0.25
 #: Bins of all nodes that the driver sees at once.
 MOST_BINS = 1 << 16
-#: Documents whose slots are numbered together.
+#: Rows whose slots are numbered together, and equal rows that are dealt together.
 SLOT_DOCS = 20_000
 _DIM_BITS, _TIE_BITS = 20, 31
 
 
-def _coordinate(docs: DataFrame, name: str) -> Column:
-    """A dimension as a double; strings by their first six bytes, null as the least value."""
-    kind = docs.schema[name].dataType
+def _number(docs: DataFrame, name: str) -> Column | None:
+    """A dimension as a double, null where it is no number; None for one that has to be ranked."""
+    kind, value = docs.schema[name].dataType, F.col(f"`{name}`")
     if isinstance(kind, T.NumericType):
-        value = F.col(name).cast("double")
+        value = value.cast("double")
         return F.when(F.isnan(value), None).otherwise(value)
     if isinstance(kind, (T.TimestampType, T.DateType, T.TimestampNTZType)):
-        return F.col(name).cast("timestamp").cast("double")
+        return value.cast("timestamp").cast("double")
     if isinstance(kind, T.BooleanType):
-        return F.col(name).cast("int").cast("double")
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(name).cast("string"), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+        return value.cast("int").cast("double")
+    return None
+
+
+def _ranked(units: DataFrame, name: str) -> DataFrame:
+    """`units` (.., rows, size) with the string column `name` as the bytes of all smaller values.
+
+    Values are sorted by a range shuffle; sums of its partitions, one number
+    each, place every value among all of them, however long prefixes they share.
+    """
+    values = cut(
+        units.where(F.col(name).isNotNull()).groupBy(name).agg(F.sum(F.col("rows") * F.col("size")).alias("bytes"))
+        .repartitionByRange(parts(units.sparkSession), name).withColumn("part", F.spark_partition_id())
+    )
+    # as many rows as there are partitions
+    sums = dict(values.groupBy("part").agg(F.sum("bytes")).collect())
+    before, total = [], 0
+    for k in sorted(sums):
+        before.append((k, float(total)))
+        total += sums[k]
+    own = W.partitionBy("part").orderBy(name).rowsBetween(W.unboundedPreceding, -1)
+    offset = F.broadcast(units.sparkSession.createDataFrame(before, "part int, before double"))
+    ranks = cut(values.join(offset, "part").select(F.col(name).alias("value"), (F.col("before") + F.coalesce(F.sum("bytes").over(own), F.lit(0))).alias("rank")))
+    return units.join(ranks, F.col(name) == F.col("value"), "left").drop(name, "value").withColumnRenamed("rank", name)
 
 
 def kd_shards(
@@ -57,43 +80,60 @@ def kd_shards(
     shards, or as many as leaves of `target_bytes` are needed.  slot numbers a
     shard's rows from 0 without gaps.  Dimensions that `docs` lacks are left
     out; with none left, or all points equal, a hash of the text decides.  Null
-    and empty texts are equal texts.  Repeated rows are rows like others.
+    and empty texts are equal texts; null is the least value of a dimension.
+    Repeated rows are rows like others, and are counted before they are dealt.
+    No rows give no rows, and other columns are ignored.
     """
     spark = docs.sparkSession
     given_text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     names = [d for d in dimensions if d in docs.columns]
-    rows = cut(
+    dims = [f"d{i}" for i in range(len(names))]
+    numbers = [_number(docs, d) for d in names]
+    values = [F.col(f"`{d}`").cast("string") if x is None else x for d, x in zip(names, numbers)]
+    group = ["text_hash", "text_crc32", "size"]
+    # rows that agree in id and text are one unit with a count
+    units = cut(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(given_text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(given_text, "UTF-8")).cast("long").alias("text_crc32"), F.xxhash64(given_text).alias("text_hash"),
-            *[_coordinate(docs, d).alias(f"d{i}") for i, d in enumerate(names)],
+            *[x.alias(d) for d, x in zip(dims, values)],
         )
+        .groupBy("doc_id", *group).agg(F.count("*").alias("rows"), *[F.min(d).alias(d) for d in dims])
     )
-    group = ["text_hash", "text_crc32", "size"]
-    dims = [f"d{i}" for i in range(len(names))]
-    groups = cut(rows.groupBy(group).agg(F.sum("size").alias("bytes"), *[F.min(d).alias(d) for d in dims]))
+    for d, x in zip(dims, numbers):
+        if x is None:
+            units = _ranked(units, d)
+    if any(x is None for x in numbers):
+        units = cut(units)
+    groups = cut(units.groupBy(group).agg(F.sum(F.col("rows") * F.col("size")).alias("bytes"), *[F.min(d).alias(d) for d in dims]))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     n = shards or max(1, math.ceil(total / target_bytes))
     target = total / n
-
-    # the large groups, a hundred a shard at most, and their pieces
-    heavy = groups.where(F.col("bytes") >= max(1.0, HEAVY * target)).withColumn(
-        "pieces", F.when(F.col("bytes") > OVERSIZE * target, F.ceil(F.col("bytes") / (HEAVY * target))).otherwise(1).cast("int")
+    most = max(1.0, HEAVY * target)
+    # a unit of very many rows is dealt in shares
+    shares = F.least("rows", F.greatest(F.ceil(F.col("rows") * F.col("size") / most), F.ceil(F.col("rows") / SLOT_DOCS))).cast("int")
+    units = units.select("doc_id", *group, "rows", shares.alias("shares")).select(
+        "doc_id", *group, "rows", "shares", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    ).select("doc_id", *group, "share", (F.expr("rows div shares") + (F.col("share") < F.expr("rows % shares")).cast("long")).alias("rows"))
+
+    # the large groups, 1 / HEAVY a shard at most, and their pieces
+    heavy = groups.where(F.col("bytes") >= most).withColumn(
+        "pieces", F.when(F.col("bytes") > OVERSIZE * target, F.ceil(F.col("bytes") / most)).otherwise(1).cast("int")
     ).select(*group, "pieces")
     heavy = F.broadcast(heavy)
-    marked = rows.join(heavy, group, "left").withColumn(
-        "piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(5)), "pieces").cast("int"))
+    marked = units.join(heavy, group, "left").withColumn(
+        "piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id", "share", F.lit(5)), "pieces").cast("int"))
     )
-    pieces = marked.where("piece is not null").groupBy(*group, "piece").agg(F.sum("size").alias("bytes")).collect()
+    pieces = marked.where("piece is not null").groupBy(*group, "piece").agg(F.sum(F.col("rows") * F.col("size")).alias("bytes")).collect()
     fill, placed, own = [(0, k) for k in range(n)], [], defaultdict(list)
     for r in pieces:
         own[tuple(r[g] for g in group)].append((r["bytes"], r["piece"]))
-    for key, parts in sorted(own.items(), key=lambda kv: (-sum(b for b, _ in kv[1]), kv[0])):
-        whole = sum(b for b, _ in parts)
-        together = len(parts) == 1 or fill[0][0] + whole <= target
-        for bytes_, piece in [(whole, None)] if together else sorted(parts, reverse=True):
+    for key, parts_ in sorted(own.items(), key=lambda kv: (-sum(b for b, _ in kv[1]), kv[0])):
+        whole = sum(b for b, _ in parts_)
+        together = len(parts_) == 1 or fill[0][0] + whole <= target
+        for bytes_, piece in [(whole, None)] if together else sorted(parts_, reverse=True):
             held, k = heapq.heappop(fill)
-            placed += [(*key, p, k) for _, p in parts if piece in (None, p)]
+            placed += [(*key, p, k) for _, p in parts_ if piece in (None, p)]
             heapq.heappush(fill, (held + bytes_, k))
     wanted = [max(0.0, target - held) for held, _ in sorted(fill, key=lambda f: f[1])]
     schema = "text_hash long, text_crc32 long, size long, piece int, placed int"
@@ -104,7 +144,7 @@ def kd_shards(
     sharded = (
         marked.join(by_piece, [*group, "piece"], "left")
         .join(leaves, group, "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("placed", "leaf").alias("shard"))
+        .select("doc_id", "size", "text_crc32", "share", "rows", F.coalesce("placed", "leaf").alias("shard"))
     )
     return _slots(cut(sharded), n)
 
@@ -155,7 +195,8 @@ def _cut_nodes(spark, points: DataFrame, splits: dict, dims: list[str], leaf: fl
     code = (F.floor(scaled).cast("long") * (1 << _TIE_BITS) + F.col("tie")).alias("code")
     bits = max(4, int(math.log2(MOST_BINS / len(splits))))
     left = _DIM_BITS + _TIE_BITS
-    coded = cut(points.join(table().drop("bound"), ["begin", "end"]).select("begin", "end", "bytes", code))
+    # the points are stored; their codes are computed as they are read
+    coded = points.join(table().drop("bound"), ["begin", "end"]).select("begin", "end", "bytes", code)
     open_ = set(splits)
     while left > 0 and open_:
         step = min(bits, left)
@@ -198,18 +239,17 @@ def _cut_nodes(spark, points: DataFrame, splits: dict, dims: list[str], leaf: fl
 
 def _slots(sharded: DataFrame, shards: int) -> DataFrame:
     """Numbers the rows of each shard from 0: ranks in buckets of bounded size, after the buckets before."""
-    count = sharded.count()
+    count = sharded.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(count / (SLOT_DOCS * shards)))
-    dealt = sharded.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
-    held = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("held"))
+    dealt = sharded.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "share"), F.lit(buckets)))
+    # one row a bucket, a bucket for some ten thousand rows
+    held = dealt.groupBy("shard", "bucket").agg(F.sum("rows").alias("held"))
     before = held.withColumn(
         "before", F.coalesce(F.sum("held").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ).drop("held")
-    rank = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))
-    return (
-        dealt.withColumn("rank", rank).join(before, ["shard", "bucket"])
-        .select(
-            "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-            (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        )
+    upto = W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "share").rowsBetween(W.unboundedPreceding, -1)
+    first = dealt.withColumn("first", F.coalesce(F.sum("rows").over(upto), F.lit(0))).join(before, ["shard", "bucket"])
+    return first.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
+        (F.col("before") + F.col("first") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -47,6 +47,31 @@ def test_hot_text_is_dealt_in_pieces(spark):
     assert sum(len(s) > 1 for s in texts.values()) == 1
 
 
+def test_strings_with_a_long_common_prefix_are_a_dimension(spark):
+    df = spark.range(2000).select(
+        F.expr("pmod(hash(id), 100000)").cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("text"),
+        F.concat(F.lit("https://a.very.long.host.example/path/"), F.lpad((F.col("id") % 500).cast("string"), 4, "0")).alias("url"),
+    )
+    rows = kd_shards(df, shards=4, dimensions=("url",)).collect()
+    check(rows, 4, near=0.01)
+    url = {(r.doc_id, r.text_crc32): r.url for r in df.withColumn("text_crc32", F.crc32(F.encode("text", "UTF-8"))).collect()}
+    spans = defaultdict(list)
+    for r in rows:
+        spans[r.shard].append(url[r.doc_id, r.text_crc32])
+    ends = sorted((min(u), max(u)) for u in spans.values())
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_a_third_of_the_rows_repeated(spark, monkeypatch):
+    from brindle.llm import sharding
+
+    monkeypatch.setattr(sharding, "SLOT_DOCS", 50)
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same row").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    rows = kd_shards(df, shards=8).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in rows) == Counter((r.doc_id, zlib.crc32(r.text.encode())) for r in df.collect())
+    check(rows, 8, near=0.05)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = kd_shards(odd_docs, shards=8).collect()
     assert len(rows) == odd_docs.count()
