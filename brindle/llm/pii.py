@@ -4,12 +4,17 @@ Values are found by pattern, validated (check digits, ranges, the calendar; wher
 the longest match is not valid, shorter ones and other kinds are tried) and
 permuted within their own format by a keyed Feistel network: a card number
 becomes another valid card number, a date another date, and punctuation stays
-in place.  The permutation depends on the key and the kind of value only, so
-equal values stay linked across documents and distinct ones never meet.
+in place.  What is permuted is the value and not its spelling: a date is the
+same day in any order of its parts, a phone number its country and national
+number with or without blanks, a mail address or a hexadecimal key the same in
+capitals.  The permutation depends on the key and the kind of value only, so
+equal values stay linked across documents and formats and distinct ones never
+meet; it has no fixed point, so no value stays in clear.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import functools
 import hashlib
@@ -24,18 +29,38 @@ KINDS = ("card", "iban", "date", "ssn", "phone", "ip", "secret", "email")
 _ROUNDS = 10
 
 
+# Country calling codes of one and two digits; all others have three.
+_CODES = (
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
+
+
 class Feistel:
-    """A keyed permutation of 0 .. size - 1: a balanced network over the next even number of bits, walked until it is back in range."""
+    """A keyed permutation of 0 .. size - 1 without fixed points (but for a size of 1).
+
+    A balanced network over the next even number of bits, walked until it is
+    back in range, says in which order all numbers follow one another; each is
+    replaced by the one that is some keyed steps further on.
+    """
 
     def __init__(self, key: bytes, kind: str, size: int):
         self.size = size
         self.half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
         self.mask = (1 << self.half) - 1
         self.bytes = (self.half + 7) // 8
-        self.keys = [hashlib.blake2b(f"{kind}/{size}/{r}".encode(), key=key[:64], digest_size=32).digest() for r in range(_ROUNDS)]
+        if len(key) > 64:
+            key = hashlib.blake2b(key).digest()
+        self.keys = [hashlib.blake2b(f"{kind}/{size:x}/{r}".encode(), key=key, digest_size=32).digest() for r in range(_ROUNDS)]
+        step = hashlib.blake2b(f"{kind}/{size:x}/step".encode(), key=key, digest_size=64).digest()
+        self.step = 1 + int.from_bytes(step, "big") % (size - 1) if size > 1 else 0
 
     def _mix(self, r: int, x: int) -> int:
-        digest = hashlib.blake2b(x.to_bytes(self.bytes, "big"), key=self.keys[r], digest_size=min(64, self.bytes + 8)).digest()
+        data, size = x.to_bytes(self.bytes, "big"), self.bytes + 8
+        if size <= 64:
+            digest = hashlib.blake2b(data, key=self.keys[r], digest_size=size).digest()
+        else:
+            digest = hashlib.shake_256(self.keys[r] + data).digest(size)
         return int.from_bytes(digest, "big") & self.mask
 
     def _once(self, x: int) -> int:
@@ -50,16 +75,22 @@ class Feistel:
             left, right = right ^ self._mix(r, left), left
         return left << self.half | right
 
-    def __call__(self, x: int) -> int:
+    def _place(self, x: int) -> int:
         while (x := self._once(x)) >= self.size:
             pass
         return x
 
-    def inverse(self, x: int) -> int:
+    def _at(self, x: int) -> int:
         while (x := self._back(x)) >= self.size:
             pass
         return x
 
+    def __call__(self, x: int) -> int:
+        return self._at((self._place(x) + self.step) % self.size)
+
+    def inverse(self, x: int) -> int:
+        return self._at((self._place(x) - self.step) % self.size)
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -85,9 +116,9 @@ class Pseudonyms:
 
     #: In order of precedence; each match is validated by the method of its name.
     PATTERNS = [
-        ("email", r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
+        ("email", r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]*@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
         ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-        ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
+        ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
         ("date", r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?!(?![Tt]\d\d(?!\d)|[Tt]\d{4}(?:\d\d)?(?!\d))[\w/-]|\.\d)"),
         ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"),
         ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"),
@@ -108,19 +139,19 @@ class Pseudonyms:
         return str(self.permutation(kind, 10 ** len(digits))(int(digits))).zfill(len(digits))
 
     def _letters(self, kind: str, text: str) -> str:
-        """Every letter and digit anew within its own alphabet, all of them permuted as one number."""
-        kinds = [next((a for a in (_DIGITS, _LOWER, _UPPER) if c in a), "") for c in text]
-        size = number = 1
-        number = 0
-        for c, a in zip(text, kinds):
+        """Every letter and digit anew within its own alphabet, all of them permuted as one number; capitals stay capitals."""
+        plain = text.lower()
+        kinds = [next((a for a in (_DIGITS, _LOWER) if c in a), "") for c in plain]
+        number, size = 0, 1
+        for c, a in zip(plain, kinds):
             if a:
                 number, size = number * len(a) + a.index(c), size * len(a)
-        number = self.permutation(kind, size)(number)
-        out = list(text)
+        number = self.permutation(f"{kind}/{''.join(a[:1] or c for c, a in zip(plain, kinds))}", size)(number)
+        out = list(plain)
         for i in reversed(range(len(text))):
             if a := kinds[i]:
                 number, k = divmod(number, len(a))
-                out[i] = a[k]
+                out[i] = a[k].upper() if text[i].isupper() else a[k]
         return "".join(out)
 
     @staticmethod
@@ -160,22 +191,19 @@ class Pseudonyms:
             break
         else:
             return None
-        begin, end = datetime.date(1900, 1, 1), datetime.date(2100, 1, 1)
-        if not begin <= day < end:
-            return None
-        # an order of its own where both can be read keeps the reading
-        twofold = not first and int(parts[0]) <= 12 and int(parts[1]) <= 12
-        if twofold:
-            # both numbers are months as well: permuted among dates that can be read both ways
-            n = self.permutation("date12", 12 * 12 * 200)((day.year - 1900) * 144 + (int(parts[0]) - 1) * 12 + int(parts[1]) - 1)
-            return f"{n // 12 % 12 + 1:02d}{mark}{n % 12 + 1:02d}{mark}{1900 + n // 144:04d}"
-        if first:
-            new = begin + datetime.timedelta(self.permutation("date", (end - begin).days)((day - begin).days))
-            return f"{new.year:04d}{mark}{new.month:02d}{mark}{new.day:02d}"
-        days = _late_days()
-        new = days[self.permutation("date13", len(days))(_late_index()[day])]
-        a, b = (new.day, new.month) if order == "dmy" else (new.month, new.day)
-        return f"{a:02d}{mark}{b:02d}{mark}{new.year:04d}"
+        # days after the 12th, that can be read in one order only, and others are permuted among themselves
+        late, rank = _day_rank(day)
+        low, high = (_day_rank(datetime.date(year, 1, 13 if late else 1))[1] for year in (1900, 2100))
+        if low <= rank < high:
+            rank = low + self.permutation(f"date/{late}", high - low)(rank - low)
+        else:
+            # years long past or far ahead stay such
+            size = _day_rank(datetime.date(9999, 12, 31 if late else 12))[1] + 1 - (high - low)
+            rank = self.permutation(f"far date/{late}", size)(rank if rank < low else rank - (high - low))
+            rank += (high - low) * (rank >= low)
+        new = _day_at(late, rank)
+        values = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+        return mark.join(values[c] for c in order)
 
     def _ip(self, found: str) -> str | None:
         parts = [int(p) for p in found.split(".")]
@@ -201,9 +229,14 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", found)
         if not 7 <= len(digits) <= 15:
             return None
-        # the country code is kept, for it says the format
-        lead = len(re.match(r"\+?(\d*)", found)[1]) if found[0] == "+" and not found[1:].isdigit() else 0
-        return self._into(found, digits[:lead] + self._digits("phone", digits[lead:]))
+        # the country code is kept, and so are zeros ahead of the national number
+        lead = next((len(c) for c in _CODES if digits.startswith(c)), 3) if found[0] == "+" else 0
+        lead += len(digits[lead:]) - len(digits[lead:].lstrip("0"))
+        own = digits[lead:]
+        if len(own) < 4:
+            return None
+        least = 10 ** (len(own) - 1)
+        return self._into(found, digits[:lead] + str(least + self.permutation("phone", 9 * least)(int(own) - least)))
 
     def _secret(self, found: str) -> str | None:
         if found[:4] in ("AKIA", "ASIA") and len(found) == 20:
@@ -267,15 +300,26 @@ def _renumbered(pattern: str) -> str:
     return pattern.replace(r"([-/.])\d{2}\1", r"(?:-\d{2}-|/\d{2}/|\.\d{2}\.)").replace(r"([-/.])\d{2}\2", r"(?:-\d{2}-|/\d{2}/|\.\d{2}\.)")
 
 
-@functools.lru_cache(1)
-def _late_days() -> list[datetime.date]:
-    """Days of a month after the 12th: dates that can be read in one way only."""
-    return [d for n in range((datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days) if (d := datetime.date(1900, 1, 1) + datetime.timedelta(n)).day > 12]
+def _early(day: datetime.date) -> int:
+    """Days up to the 12th of a month before `day`, from the year 1."""
+    return (day.year - 1) * 144 + (day.month - 1) * 12 + min(day.day - 1, 12)
+
+
+def _day_rank(day: datetime.date) -> tuple[bool, int]:
+    """Whether a day is after the 12th, and its place among all such days, or among all others."""
+    return (True, day.toordinal() - 1 - _early(day)) if day.day > 12 else (False, _early(day))
+
+
+def _day_at(late: bool, rank: int) -> datetime.date:
+    if not late:
+        months, day = divmod(rank, 12)
+        return datetime.date(months // 12 + 1, months % 12 + 1, day + 1)
 
+    def upto(ordinal: int) -> int:
+        day = datetime.date.fromordinal(ordinal)
+        return ordinal - _early(day) - (day.day <= 12)
 
-@functools.lru_cache(1)
-def _late_index() -> dict[datetime.date, int]:
-    return {d: i for i, d in enumerate(_late_days())}
+    return datetime.date.fromordinal(1 + bisect.bisect_left(range(1, datetime.date.max.toordinal() + 1), rank + 1, key=upto))
 
 
 @functools.lru_cache(4)
@@ -289,7 +333,8 @@ def pseudonymise(
     """(doc_id, text, n_replaced, kinds), one row for each row of `docs`: texts with pseudonyms for personal values.
 
     kinds holds the distinct kinds replaced, sorted.  Texts without such values
-    come back unchanged, null as null.  Nothing is shuffled.
+    come back unchanged, null as null, empty as empty; repeated rows give equal
+    rows, no rows none, and other columns are ignored.  Nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

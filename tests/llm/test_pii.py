@@ -2,7 +2,7 @@ import datetime
 
 import pytest
 
-from brindle.llm.pii import Feistel, Pseudonyms, _iban_rest, luhn, pseudonymise
+from brindle.llm.pii import Feistel, Pseudonyms, _day_at, _day_rank, _iban_rest, luhn, pseudonymise
 
 KEY = b"tests"
 
@@ -79,6 +79,56 @@ def test_dates_are_permuted_within_their_reading():
     assert len(seen) == 28 * 3
 
 
+@pytest.mark.parametrize("size", [2, 3, 26, 676, 4097])
+def test_no_value_stays_in_clear(size):
+    f = Feistel(b"k" * 100, "x", size)
+    out = [f(i) for i in range(size)]
+    assert sorted(out) == list(range(size)) and all(a != b for a, b in enumerate(out))
+    assert out != [Feistel(b"k" * 64 + b"other", "x", size)(i) for i in range(size)] or size < 4
+
+
+def test_every_day_has_a_place():
+    for late in (True, False):
+        days = [d for n in range(1, datetime.date.max.toordinal() + 1, 1) if ((d := datetime.date.fromordinal(n)).day > 12) == late and (n < 3000 or n % 997 == 0)]
+        for d in days:
+            assert _day_at(*_day_rank(d)) == d
+
+
+def test_equal_values_stay_linked_across_formats():
+    p = Pseudonyms(KEY)
+    one = lambda text: p.replace(text)[0]
+    y, m, d = one("1985-02-28").split("-")
+    assert one("28.02.1985") == f"{d}.{m}.{y}" and one("02/28/1985") == f"{m}/{d}/{y}" and one("1985/02/28") == f"{y}/{m}/{d}"
+    y, m, d = one("2001-02-05").split("-")
+    assert one("05/02/2001") == f"{d}/{m}/{y}"
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    assert digits(one("+1 (415) 555-0132")) == digits(one("+14155550132")) == "1" + digits(one("(415) 555-0132"))
+    assert one("+442079460958")[:3] == "+44" and one("+442079460958")[3] != "0" and digits(one("020 7946 0958"))[1:] == one("+442079460958")[3:]
+    assert one("Jo.Doe@Mail.example.COM").lower() == one("jo.doe@mail.example.com") and one("Jo.Doe@Mail.example.COM")[0].isupper()
+    key = "0123456789abcdef" * 2
+    assert one(key.upper()) == one(key).upper() != key.upper()
+
+
+def test_all_dates_of_two_centuries_are_permuted():
+    p, first = Pseudonyms(KEY), datetime.date(1900, 1, 1)
+    days = [first + datetime.timedelta(n) for n in range(0, 73049, 7)]
+    out = {p.replace(d.isoformat())[0] for d in days}
+    assert len(out) == len(days) and all("1900" <= o < "2100" for o in out) and not any(p.replace(d.isoformat())[0] == d.isoformat() for d in days)
+
+
+def test_long_keys_long_names_and_far_dates_do_not_stay():
+    p = Pseudonyms(KEY)
+    for text in ("1899-02-03", "0001-01-01", "9999-12-31", "12.11.2105", "a0" * 67, "0f" * 5000, "n" * 70 + "@example.org", "a@b.com", "a1" * 300 + "@b.de"):
+        out, kinds = p.replace(f"x {text} y")
+        assert len(kinds) == 1 and out != f"x {text} y" and len(out) == len(text) + 4
+    out = p.replace("f" * 16 + "0" * 3000)[0]
+    # all of a long key is changed
+    assert len(set(out[k : k + 8] for k in range(0, 3008, 8))) > 370
+    for name in "abcdefghijklmnopqrstuvwxyz":
+        new = p.replace(f"{name}@b.com")[0]
+        assert new[0] != name and new[2] != "b"
+
+
 def test_odd_rows(spark, odd_docs, no_docs, docs):
     rows = pseudonymise(odd_docs, KEY).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in rows) == sorted((str(r.doc_id), str(r.text)) for r in odd_docs.collect())
