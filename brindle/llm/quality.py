@@ -5,10 +5,12 @@ of bytes, repetition of words and lines, lengths.  A linear model is fitted to
 the non-negative unbiased risk of positive-unlabelled learning: the risk of
 calling trusted documents bad, plus that of calling unlabelled ones good less
 the part that positives hidden among them account for, never below zero.  The
-share of positives, the class prior, is estimated first.
+share of positives, the class prior, is estimated first, from the same two
+kinds of text alone; labels of bad documents are not used.
 
-The fit sees a bounded sample (`most_rows` of each kind, drawn by a hash of the
-id); every text is scored whole, in one pass without a shuffle.
+The fit and the prior see a bounded sample: about `most_rows` trusted and as
+many unlabelled documents, drawn by a hash.  Every text is scored whole, in one
+pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -111,9 +113,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weight + self.bias, -40, 40)))
 
 
-def estimate_prior(positives: int, negatives: int, default: float = 0.5) -> float:
-    """Share of positives among documents: the trusted share of a labelled draw, drawn towards `default` by one document of each kind."""
-    return (positives + 2 * default) / (positives + negatives + 2)
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, default: float = 0.5) -> float:
+    """Share of positives among unlabelled documents, from trusted positives and unlabelled ones.
+
+    Above any score there are at least as many unlabelled documents as the share
+    times the part of the positives there, and about as many where hardly
+    anything but positives is.  So the share is the least ratio of the two parts
+    over all scores that a tenth of the positives reach, each raised by one
+    standard error.  The scores of one half come from a model of the other, both
+    ways, so none is of a document that the model has seen.
+    """
+    if min(len(positive), len(unlabelled)) < 4:
+        return default
+    rng = np.random.default_rng(3)
+    halves = [(lambda at: (x[at[::2]], x[at[1::2]]))(rng.permutation(len(x))) for x in (positive, unlabelled)]
+    found = []
+    for k in (0, 1):
+        model = fit(halves[0][k], halves[1][k], default, steps=400)
+        p, u = model.score(halves[0][1 - k]), model.score(halves[1][1 - k])
+        at = np.quantile(p, np.linspace(0, 0.9, 46))[:, None]
+        share_p, share_u = (p >= at).mean(1), (u >= at).mean(1)
+        error = np.sqrt((1 - share_p) / share_p / len(p)) + np.sqrt((1 - share_u) / np.maximum(share_u, 1 / len(u)) / len(u))
+        found.append((share_u / share_p * (1 + error)).min())
+    return float(np.clip(np.mean(found), 0.02, 0.98))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-5) -> Model:
@@ -142,35 +164,44 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return model
 
 
+def _drawn(hash_: Column, share: float) -> Column:
+    """True for about so large a share of uniform 64-bit hashes."""
+    return hash_ < F.lit(min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))) if share < 1 else F.lit(True)
+
+
 def train(
     docs: DataFrame, labels: DataFrame, training: str, most_rows: int = 10_000,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> Model | None:
-    """The model from the labels that the SQL predicate `training` over the id admits; None without a positive one."""
-    order = F.xxhash64("doc_id", F.lit(17))
+    """The model from the positive labels that the SQL predicate `training` over the id admits; None without one.
+
+    Rows that agree in id and text count once; null ids, labels of unknown ids
+    and null labels do not count.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(
-        f"({training}) and doc_id is not null and label is not null"
-    )
-    counts = dict(known.groupBy("label").count().collect())
-    positives = known.where("label = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(most_rows).withColumn("positive", F.lit(True))
+        f"({training}) and doc_id is not null and label = 1"
+    ).select("doc_id").distinct()
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    web = given.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(18)), "doc_id").limit(most_rows).withColumn("positive", F.lit(False))
-    # two samples of at most `most_rows` ids
-    sample = given.join(F.broadcast(positives.unionByName(web)), "doc_id").select("text", "positive")
+    trusted, every = known.count(), given.count()
+    # about `most_rows` ids
+    picked = known.where(_drawn(F.xxhash64("doc_id", F.lit(17)), most_rows / max(trusted, 1))).withColumn("trusted", F.lit(True))
+    key = F.xxhash64("doc_id", "text", F.lit(18))
+    roles = F.array_compact(F.array(F.col("trusted"), F.when(_drawn(key, most_rows / max(every, 1)), F.lit(False))))
+    sample = given.join(F.broadcast(picked), "doc_id", "left").select(key.alias("key"), "text", F.explode(roles).alias("positive")).dropDuplicates(["key", "positive"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "x"])
 
-    rows = sample.mapInArrow(run, "positive boolean, x binary").toPandas()
-    if not rows["positive"].any():
+    rows = sample.select("text", "positive").mapInArrow(run, "positive boolean, x binary").toPandas()
+    if not rows["positive"].any() or rows["positive"].all():
         return None
     # in an order of their own, so that sums do not depend on who came first
     rows = rows.sort_values(["positive", "x"], kind="stable")
     x = np.frombuffer(b"".join(rows["x"]), np.float64).reshape(len(rows), len(FEATURES))
     positive = rows["positive"].to_numpy(bool)
-    return fit(x[positive], x[~positive], estimate_prior(counts.get(1, 0), counts.get(0, 0)))
+    return fit(x[positive], x[~positive], estimate_prior(x[positive], x[~positive]))
 
 
 def score_quality(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +209,8 @@ def score_quality(docs: DataFrame, model: Model | None, threshold: float = 0.7,
 
     Null and empty texts are scored as documents without words.  Without a
     model every score is `threshold`, so nothing is rejected for want of labels.
-    Columns of these names in `docs` are replaced; rows stay as they are.
+    Columns of these names in `docs` are replaced; rows stay as they are,
+    repeated ones get equal scores, and no rows give none.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

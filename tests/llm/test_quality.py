@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from brindle.llm import quality
 from brindle.llm.queries import queries
@@ -24,6 +25,45 @@ def test_labels_of_other_rows_do_not_matter(spark, sf):
     assert np.array_equal(a.weight, b.weight) and a.bias == b.bias
 
 
+def test_labels_of_bad_documents_do_not_matter(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = (quality.train(docs, x, "true") for x in (labels, labels.where("quality = 1")))
+    assert np.array_equal(a.weight, b.weight) and a.bias == b.bias
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_without_negatives(share):
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(1.2, 1, (8000, 6)), rng.normal(-1.2, 1, (4000, 6))
+    n = int(4000 * share)
+    got = quality.estimate_prior(good[4000:], np.concatenate([good[:n], bad[: 4000 - n]]))
+    assert abs(got - share) < 0.06
+
+
+def test_fit_by_numerical_descent():
+    """The gradient steps end where a plain search of the same risk ends."""
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(1, 1, (300, 2)), np.concatenate([rng.normal(1, 1, (300, 2)), rng.normal(-1, 1, (300, 2))])
+    model = quality.fit(p, u, 0.5, decay=0.0)
+
+    def risk(w, b):
+        z = lambda x: np.logaddexp(0, -(model.design(x) @ w + b))
+        n = lambda x: np.logaddexp(0, model.design(x) @ w + b)
+        return 0.5 * z(p).mean() + max(0.0, n(u).mean() - 0.5 * n(p).mean())
+
+    least = risk(model.weight, model.bias)
+    for step in np.concatenate([np.eye(3), -np.eye(3), rng.normal(size=(50, 3))]):
+        for size in (0.3, 0.05, 0.01):
+            assert risk(model.weight + size * step[:2], model.bias + size * step[2]) > least - 1e-4
+
+
+def test_repeated_rows_do_not_fill_the_sample(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    many = docs.unionByName(docs.limit(1).crossJoin(spark.range(500)).drop("id"))
+    a, b = (quality.train(d, labels, "true") for d in (docs, many))
+    assert np.array_equal(a.weight, b.weight)
+
+
 def test_risk_is_not_below_zero_for_long():
     rng = np.random.default_rng(1)
     positive, negative = rng.normal(1.5, 1, (400, 5)), rng.normal(-1.5, 1, (400, 5))
