@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..lineage import cut
+from .prefix import running
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents ranked together; larger cells are salted.
-CELL_DOCS = 50_000
-#: Sources up to which their table is broadcast.
-BROADCAST_SOURCES = 100_000
+CELL_DOCS = 1_000
+#: Rows up to which a table of sources, of crowded cells or ids is broadcast.
+BROADCAST_ROWS = 100_000
 NEWTON_STEPS = 60
 #: Documents of each power of two of sizes with which a source is brought nearer its target.
 POOL = 8
@@ -43,21 +44,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     what is above is shared anew.  That is the level at which the capped shares
     add up to all words; it is found in order of each source's own level.
     """
-    order = W.orderBy(F.col("source").isNull(), "source")
-    level = W.orderBy("level", "key")
-    weighed = sizes.withColumn(
-        "weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")).cast("double")
-    ).withColumn("level", F.lit(float(most)) * F.col("source_size") / F.col("weight"))
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    shared = weighed.select(
-        "*",
-        ((F.sum("source_size").over(everything) - F.coalesce(F.sum(most * F.col("source_size")).over(level.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-         / F.sum("weight").over(level.rowsBetween(0, W.unboundedFollowing))).alias("offer"),
-    )
-    level_of = F.min(F.when(F.col("offer") <= F.col("level"), F.struct("level", "key", "offer"))).over(everything)["offer"]
-    return shared.withColumn("at", level_of).select(
+    ranked = running(sizes, [F.col("source").isNull(), F.col("source")], {"place": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int")).cast("double")
+    weighed = ranked.withColumn("weight", weight).withColumn("level", F.lit(float(most)) * F.col("source_size") / F.col("weight"))
+    shared = cut(running(weighed, [F.col("level"), F.col("key")], {"capped": most * F.col("source_size"), "below": F.col("weight")}))
+    # one row each
+    words, weights_ = shared.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    offered = shared.withColumn("offer", (F.lit(words) - F.col("capped")) / (F.lit(weights_) - F.col("below")))
+    at = offered.where("offer <= level").agg(F.min(F.struct("level", "key", "offer"))["offer"]).first()[0]
+    return shared.select(
         "key", "source", "source_size",
-        F.least(F.lit(float(most)) * F.col("source_size"), F.coalesce("at", F.lit(float("inf"))) * F.col("weight")).alias("target"),
+        F.least(F.lit(float(most)) * F.col("source_size"), F.lit(float("inf") if at is None else at) * F.col("weight")).alias("target"),
     )
 
 
@@ -75,7 +72,7 @@ def _solve(cells: DataFrame, targets: DataFrame, most: int) -> DataFrame:
             (F.col("target") < most * F.col("words") * (1 - 1e-12)).alias("free"), F.lit(1.0).alias("off"),
         )
     )
-    small = F.broadcast if state.count() <= BROADCAST_SOURCES else lambda df: df
+    small = F.broadcast if state.count() <= BROADCAST_ROWS else lambda df: df
     for _ in range(NEWTON_STEPS):
         z = F.col("size") / F.col("mean")
         rate = _rate(F.col("tilt") * z, most)
@@ -116,9 +113,13 @@ def mix(
     """(doc_id, source, size, source_size, target, rate, copies, taken) for each row of `docs`, and its columns `keep`.
 
     size counts words (null: 0); taken = copies * size, with 0 <= copies <=
-    `most`.  Null is a source of its own.  Documents without words are copied
-    once and take nothing; a source without words has target 0.  Repeated rows
-    are rounded one by one.  The result depends on the rows only.
+    `most`.  Null is a source of its own.  Documents without words, null and
+    empty texts among them, are copied once and take nothing; a source without
+    words has target 0.  Repeated rows are rounded one by one.  No rows give
+    none.  The result depends on the rows only, but where one id has more than
+    `CELL_DOCS` rows of one size and source it depends on how the table is cut
+    into partitions, too.  Columns of other names are ignored, those of `keep`
+    must not be called like one of the result.
     """
     given = cut(
         docs.select(
@@ -137,10 +138,20 @@ def mix(
             F.when(F.col("size") == 0, 1.0)
             .when(F.col("free"), _rate(F.col("tilt") * F.col("size") / F.col("mean"), most))
             .otherwise(float(most)).alias("rate"),
-            F.ceil(F.col("docs") / CELL_DOCS).cast("int").alias("salts"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("docs") / CELL_DOCS) - 1)).alias("salt"),
         )
     )
-    salted = given.join(rated, ["key", "size"]).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), "salts"))
+    # crowded cells are salted by their documents' ids, ids that crowd a cell themselves by their rows
+    hot = cut(cells.where(F.col("docs") > CELL_DOCS).select("key", "size", F.ceil(F.col("docs") / CELL_DOCS).alias("salts")))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    placed = given.select("*", F.xxhash64("doc_id", F.lit(3)).alias("by_id"), F.monotonically_increasing_id().alias("nth")).join(small(hot), ["key", "size"], "left")
+    crowds = cut(
+        placed.where("salts is not null").groupBy("key", "size", "by_id").agg(F.count("*").alias("n")).where(F.col("n") > CELL_DOCS)
+        .select("key", "size", "by_id", F.lit(True).alias("crowd"))
+    )
+    placed = placed.join(small(crowds), ["key", "size", "by_id"], "left")
+    salt = F.pmod(F.when(F.col("crowd"), F.xxhash64("nth")).otherwise(F.col("by_id")), F.coalesce("salts", F.lit(1).cast("long")))
+    salted = placed.withColumn("salt", salt).drop("salts", "crowd", "by_id", "nth").join(rated, ["key", "size", "salt"])
     cell = ["key", "size", "salt"]
     by_size = W.partitionBy("key").orderBy(F.desc("size"), "salt")
     quota = (
@@ -153,7 +164,7 @@ def mix(
     rounded = cut(
         salted.withColumn("rank", rank).join(quota, cell)
         .withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.col("each") + (F.col("rank") <= F.col("extra")).cast("int")).cast("int"))
-        .drop("each", "extra", "salts")
+        .drop("each", "extra")
     )
     moved = _make_good(rounded, targets, most)
     done = rounded.join(moved, [*cell, "rank"], "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))

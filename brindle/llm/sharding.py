@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..lineage import cut, parts
+from ..lineage import cut
+from .prefix import running
 
 #: Share of a shard's target from which a group is placed by itself, and from which its pieces are counted.
 HEAVY, OVERSIZE = 0.03, 0.25
@@ -51,22 +52,10 @@ def _number(docs: DataFrame, name: str) -> Column | None:
 def _ranked(units: DataFrame, name: str) -> DataFrame:
     """`units` (.., rows, size) with the string column `name` as the bytes of all smaller values.
 
-    Values are sorted by a range shuffle; sums of its partitions, one number
-    each, place every value among all of them, however long prefixes they share.
+    All values are placed among one another, however long prefixes they share.
     """
-    values = cut(
-        units.where(F.col(name).isNotNull()).groupBy(name).agg(F.sum(F.col("rows") * F.col("size")).alias("bytes"))
-        .repartitionByRange(parts(units.sparkSession), name).withColumn("part", F.spark_partition_id())
-    )
-    # as many rows as there are partitions
-    sums = dict(values.groupBy("part").agg(F.sum("bytes")).collect())
-    before, total = [], 0
-    for k in sorted(sums):
-        before.append((k, float(total)))
-        total += sums[k]
-    own = W.partitionBy("part").orderBy(name).rowsBetween(W.unboundedPreceding, -1)
-    offset = F.broadcast(units.sparkSession.createDataFrame(before, "part int, before double"))
-    ranks = cut(values.join(offset, "part").select(F.col(name).alias("value"), (F.col("before") + F.coalesce(F.sum("bytes").over(own), F.lit(0))).alias("rank")))
+    values = units.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.sum(F.col("rows") * F.col("size")).alias("bytes"))
+    ranks = cut(running(values, [F.col("value")], {"rank": F.col("bytes")}).select("value", F.col("rank").cast("double").alias("rank")))
     return units.join(ranks, F.col(name) == F.col("value"), "left").drop(name, "value").withColumnRenamed("rank", name)
 
 

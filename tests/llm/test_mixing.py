@@ -77,3 +77,24 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r.size for r in rows if r.doc_id in (1, 2, 3)} == {0}
     assert mix(no_docs).count() == 0
     assert mix(odd_docs.where("doc_id <= 3")).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_one_id_a_third_of_all_rows(spark, monkeypatch):
+    from brindle.llm import mixing
+
+    monkeypatch.setattr(mixing, "CELL_DOCS", 50)
+    df = spark.range(1200).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("three words each").alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    rows = mix(df).collect()
+    assert len(rows) == 1200
+    taken, target = defaultdict(int), {}
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 3 for s in target)
+
+
+def test_many_sources(spark):
+    sizes = {f"source {i:04d}": 1 + (i * 7919) % 1000 for i in range(1500)} | {None: 17}
+    df = spark.createDataFrame([("n" if k is None else "s" + k, k, v) for k, v in sizes.items()], "key string, source string, source_size long")
+    got = {r.source: r.target for r in source_targets(df).collect()}
+    assert got == pytest.approx(by_water_level(sizes))
