@@ -16,7 +16,7 @@ from .components import connected
 
 # Names of system frameworks, which count as external.
 SYSTEM_FRAMEWORKS = (
-    "Foundation", "UIKit", "SwiftUI", "Combine", "CoreData", "CoreGraphics", "AVFoundation", "MapKit", "WebKit", "StoreKit", "CloudKit", "XCTest",
+    "Foundation", "UIKit", "SwiftUI", "Combine", "CoreData", "CoreGraphics", "CoreLocation", "AVFoundation", "MapKit", "WebKit", "Security", "PackageDescription",
 )
 
 

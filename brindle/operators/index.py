@@ -9,9 +9,9 @@ from ..functions import scalar as s
 
 
 def exact(symbols: DataFrame, name: str, column: str = "name", order: tuple[str, ...] = (), limit: int = 100) -> DataFrame:
-    """Rows of one name, score 1; cut after `limit` in the given order."""
+    """Rows of one name, score 1; the first `limit` in the given order, or of all columns that can be ordered."""
     found = symbols.where(F.col(column) == name).withColumn("score", F.lit(1.0))
-    return found.orderBy(*order).limit(limit) if order else found
+    return found.orderBy(*(order or [c for c, t in symbols.dtypes if not t.startswith("map")])).limit(limit)
 
 
 def of_type(symbols: DataFrame, kind: str) -> DataFrame:

@@ -18,8 +18,8 @@ from .textsearch import Query, matches
 
 # Words that cannot be names.
 RESERVED = (
-    "break", "case", "catch", "class", "const", "continue", "debugger", "default", "delete", "do", "else", "export", "extends", "finally", "for", "function", "if",
-    "import", "in", "instanceof", "new", "return", "super", "switch", "this", "throw", "try", "typeof", "var", "void", "while", "with", "yield",
+    "function", "var", "let", "const", "if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return", "try", "catch", "finally", "throw", "class",
+    "interface", "enum", "import", "export", "default", "from", "as", "type",
 )
 NAME = r"^[a-zA-Z_][a-zA-Z0-9_]*$"
 
@@ -107,9 +107,24 @@ def inverted(edits: DataFrame) -> DataFrame:
 
 
 def batch_rename(files: DataFrame, names: dict[str, str], content: str = "content") -> DataFrame:
+    """All renames at once: what one of them makes is no other's old name, so names can be exchanged.
+
+    The text is cut at every whole word that is an old name, in one pass; each
+    such word is replaced by the map.
+    """
     for old, new in names.items():
-        files = rename(files, old, new, content)
-    return files
+        check_rename(old, new)
+    if not names:
+        return files
+    # longer names first, for one may begin with another
+    any_old = "|".join(s.escape_regex(n) for n in sorted(names, key=len, reverse=True))
+    word = s.whole_word(f"(?:{any_old})")
+    new_of = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    between = F.split(F.col(content), word, -1)
+    found = F.transform(F.regexp_extract_all(F.col(content), F.lit(word), 0), lambda w: F.element_at(new_of, w))
+    # texts and words by turns; there is one word less than texts
+    joined = F.array_join(F.flatten(F.zip_with(between, F.concat(found, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    return files.withColumn(content, F.when(F.col(content).rlike(word), joined).otherwise(F.col(content)))
 
 
 # --- moves
@@ -174,7 +189,9 @@ def apply_moves(files: DataFrame, imports: DataFrame, moves: DataFrame, content:
 # --- functions: one request on one text, on the driver
 
 _WORD = re.compile(r"(?<![\w.$])[A-Za-z_$][\w$]*")
-_KEYWORDS = set(RESERVED) | {"let", "async", "await", "true", "false", "null", "undefined", "of", "static", "console", "Math", "JSON", "Object", "Array", "Promise", "String", "Number", "Boolean", "Error", "Date"}
+_KEYWORDS = set(RESERVED) | {
+    "debugger", "delete", "extends", "in", "instanceof", "new", "super", "this", "typeof", "void", "with", "yield", "async", "await", "true", "false", "null", "undefined", "of", "static", "console", "Math", "JSON", "Object", "Array", "Promise", "String", "Number", "Boolean", "Error", "Date",
+}
 
 
 def extract_function(text: str, first: int, last: int, name: str) -> str:

@@ -119,7 +119,8 @@ PATTERNS = (
     ("view-builder", r"@ViewBuilder\b"),
     ("async", r"\basync\b"),
 )
-CONFIG_WORDS = ("host", "port", "url", "timeout", "apiKey", "baseURL", "database", "username", "password", "debug", "env", "retries")
+# Words of which two and an opening brace make a configuration object.
+CONFIG_WORDS = ("host", "port", "database", "uri", "url", "connection")
 
 
 def patterns(files: DataFrame, content: str = "content", keep: tuple[str, ...] = ("path",), table: tuple[tuple[str, str], ...] = PATTERNS) -> DataFrame:

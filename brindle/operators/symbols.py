@@ -74,7 +74,7 @@ PACKS = (
 )
 # Swift protocols that are never superclasses.
 SWIFT_PROTOCOLS = (
-    "Codable", "Decodable", "Encodable", "Equatable", "Hashable", "Identifiable", "ObservableObject", "View", "Comparable", "CustomStringConvertible", "Error",
+    "ObservableObject", "Identifiable", "Codable", "Equatable", "Hashable", "Comparable", "CustomStringConvertible", "Decodable", "Encodable", "Error", "CaseIterable",
 )
 
 
@@ -194,11 +194,19 @@ def identifiers(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def unused(declared: DataFrame, words: DataFrame) -> DataFrame:
-    """SYMBOLS that appear on no other line than their own; exported, public and protected ones are left out."""
+    """SYMBOLS that appear on no other line than their own; exported, public and protected ones are left out.
+
+    Lines of a name are counted, up to those of one more than is declared, so a
+    very common name is a number like others and joins no rows with rows.
+    """
     open_ = F.exists("modifiers", lambda m: m.isin("export", "public", "protected", "open"))
     own = declared.where(~F.coalesce(open_, F.lit(False)))
-    elsewhere = words.select(F.col("name").alias("n"), F.col("path").alias("p"), F.col("line").alias("l"))
-    return own.join(elsewhere, (own.name == elsewhere.n) & ~((own.path == elsewhere.p) & (own.start_line == elsewhere.l)), "left_anti").withColumn(
+    lines = words.select(F.col("name").alias("n"), F.col("path").alias("p"), F.col("line").alias("l")).distinct()
+    seen = lines.groupBy("n").agg(F.count("*").alias("_lines"))
+    here = lines.withColumnsRenamed({"n": "name", "p": "path", "l": "start_line"}).withColumn("_here", F.lit(1))
+    joined = own.join(seen, own.name == seen.n, "left").join(here, ["name", "path", "start_line"], "left")
+    alone = F.coalesce("_lines", F.lit(0)) == F.coalesce("_here", F.lit(0))
+    return joined.where(alone).select(*[own[c] if c not in ("name", "path", "start_line") else F.col(c) for c in declared.columns]).withColumn(
         "confidence", F.when(F.array_contains("modifiers", "private"), 1.0).otherwise(0.95)
     )
 

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from ..functions import scalar as s
 from .lines import to_lines
 
-_OPEN, _CLOSE = "", ""
+# code points that are no characters, so no text has them
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 
 # Words that a prefix is completed to.
 KEYWORDS = (
@@ -77,17 +78,20 @@ def matches(lines: DataFrame, q: Query, text: str = "text") -> DataFrame:
 
 
 def literal_matches(lines: DataFrame, q: Query, text: str = "text") -> DataFrame:
-    """As `matches` for a literal query, by splitting the line at it; no pattern is compiled."""
-    needle = q.text if q.case_sensitive else q.text.lower()
-    hay = F.col(text) if q.case_sensitive else F.lower(text)
-    parts = F.split(hay, "\\Q" + needle + "\\E")
-    size = len(needle)
+    """As `matches` for a literal query, by splitting the line at it.
+
+    Without regard to case the line itself is split, not its lower case, whose
+    letters may be more or fewer; what the literal met is as long as the literal.
+    """
+    quoted = s.escape_regex(q.text)
+    parts = F.split(F.col(text), quoted if q.case_sensitive else f"(?iu){quoted}" if not q.text.isascii() else f"(?i){quoted}", -1)
+    size = len(q.text)
     columns = F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1),
         lambda i: (F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * size + 1).cast("int"),
     )
     return (
-        lines.where(hay.contains(needle))
+        lines.where(_maybe(F.col(text), q)).where(F.size(parts) > 1)
         .select("*", F.explode(columns).alias("column"))
         .withColumn("match", F.substr(F.col(text), F.col("column"), F.lit(size)))
     )
