@@ -228,8 +228,11 @@ def within_scope(child: Column, parent: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    unit = F.least(F.floor(F.log(F.lit(1024.0), F.greatest(n.cast("double"), F.lit(1.0)))), F.lit(3)).cast("int")
-    return F.format_string("%.2f %s", n / F.pow(F.lit(1024.0), unit), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), unit + 1))
+    """Two decimals and the largest unit, up to GB, that leaves 1 or more."""
+    out = F.format_string("%.2f B", n.cast("double"))
+    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
+        out = F.when(n >= 1024**power, F.format_string(f"%.2f {unit}", n / F.lit(float(1024**power)))).otherwise(out)
+    return out
 
 
 def hit_rate(hits: Column, misses: Column) -> Column:

@@ -45,10 +45,14 @@ def lines_of_code(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))
 
 
-def maintainability(volume: Column, complexity: Column, loc: Column) -> Column:
+def maintainability_index(volume: Column, complexity: Column, loc: Column) -> Column:
+    """171 less what volume, complexity and length take, 0 at least; not rounded."""
     one = F.lit(1.0)
-    raw = 171 - 5.2 * F.log(F.greatest(one, volume)) - 0.23 * complexity - 16.2 * F.log(F.greatest(one, loc.cast("double")))
-    return s.round2(F.greatest(F.lit(0.0), raw))
+    return F.greatest(F.lit(0.0), 171 - 5.2 * F.log(F.greatest(one, volume)) - 0.23 * complexity - 16.2 * F.log(F.greatest(one, loc.cast("double"))))
+
+
+def maintainability(volume: Column, complexity: Column, loc: Column) -> Column:
+    return s.round2(maintainability_index(volume, complexity, loc))
 
 
 def grade(index: Column) -> Column:

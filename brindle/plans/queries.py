@@ -166,7 +166,8 @@ def index_stats_grouping_sets(spark, sf_dir):
 @query(f"WITH {_SQL_SYMBOLS} SELECT id, name, 1.0::DOUBLE AS score FROM s WHERE name = (SELECT min(name) FROM s)")
 def symbol_exact(spark, sf_dir):
     symbols = _symbols(spark, sf_dir)
-    return symbols.join(symbols.agg(F.min("name").alias("name")), "name").select("id", "name", F.lit(1.0).alias("score"))
+    least = symbols.agg(F.min("name")).first()[0]
+    return index.exact(symbols.select("id", "name"), least, order=("id",), limit=(1 << 31) - 1)
 
 
 @query(f"""
@@ -272,7 +273,7 @@ def graph_orphans_isolated(spark, sf_dir):
 def graph_orphans_root(spark, sf_dir):
     edges = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
     customers = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
-    return customers.join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
+    return graph.orphans(edges, customers, "root").join(customers, "node", "left_semi")
 
 
 @query(f"""
@@ -337,7 +338,9 @@ def graph_components(spark, sf_dir):
     return graph.components(edges)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_SQL_PLACES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), m(node, component) AS (SELECT DISTINCT src, src FROM u UNION SELECT u.dst, m.component FROM m JOIN u ON u.src = m.node WHERE m.component LIKE 'c%')
+SELECT node, min(component) AS component FROM m GROUP BY node""")
 def graph_components_places(spark, sf_dir):
     """All places; nations and regions are hot nodes."""
     return graph.components(_places(spark, sf_dir))
@@ -381,10 +384,7 @@ WITH {_SQL_HALSTEAD}, m AS (SELECT doc_id, greatest(0.0, 171 - 5.2 * ln(greatest
 SELECT doc_id, floor(mi * 10 + 0.5)::BIGINT AS tenths, CASE WHEN mi >= 85 THEN 'A' WHEN mi >= 70 THEN 'B' WHEN mi >= 50 THEN 'C' WHEN mi >= 25 THEN 'D' ELSE 'F' END AS grade FROM m""")
 def maintainability(spark, sf_dir):
     h = metrics.halstead(_FILES(spark, sf_dir)).withColumn("v", s.round_half_up((F.col("t1") + F.col("t2")) * F.log2(F.greatest(F.lit(1), F.col("h1") + F.col("h2")).cast("double"))).cast("double"))
-    mi = F.greatest(
-        F.lit(0.0),
-        171 - 5.2 * F.log(F.greatest(F.lit(1.0), F.col("v"))) - 0.23 * (1 + F.regexp_count("content", F.lit(r"&&|\|\|"))) - 16.2 * F.log(F.greatest(F.lit(1.0), metrics.lines_of_code(F.col("content")).cast("double"))),
-    )
+    mi = metrics.maintainability_index(F.col("v"), 1 + F.regexp_count("content", F.lit(r"&&|\|\|")), metrics.lines_of_code(F.col("content")))
     return h.withColumn("mi", mi).select("doc_id", F.floor(F.col("mi") * 10 + 0.5).alias("tenths"), metrics.grade(F.col("mi")).alias("grade"))
 
 
@@ -567,7 +567,16 @@ def score_dimensions(spark, sf_dir):
     return score.maintainability_dimension(_score_counts(spark, sf_dir))
 
 
-@query()
+_SQL_MEASURED = f"""{_SQL_LINES}, w AS (SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM lines), n AS (SELECT name, count(*) AS n FROM w GROUP BY name),
+k AS (SELECT count(*) FILTER (n = 1) AS dead, count(*) AS symbols FROM n),
+g AS (SELECT md5(trim(text, ' ')) AS hash, count(*) AS members, count(DISTINCT doc_id) AS files FROM documents WHERE len(string_split(trim(text, ' '), chr(10))) >= 3 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2),
+y AS (SELECT coalesce(sum(members - 1), 0) AS duplicated FROM g), c AS (SELECT count(*) FILTER (n_chars > 5000) AS large, count(*) AS files, count(*) FILTER (contains(text, '!!')) AS patterns FROM documents),
+p AS (SELECT least(dead / symbols, 1.0::DOUBLE) * 100 AS dead_code, least(large / files, 1.0::DOUBLE) * 100 AS large_files, least(duplicated / files, 1.0::DOUBLE) * 100 AS duplication, least(patterns / files, 1.0::DOUBLE) * 100 AS pattern FROM k, y, c)"""
+
+
+@query(f"""
+WITH {_SQL_MEASURED}
+SELECT *, floor((dead_code * 0.35::DOUBLE + large_files * 0.2::DOUBLE + duplication * 0.2::DOUBLE + pattern * 0.25::DOUBLE) * 100 + 0.5::DOUBLE) / 100.0::DOUBLE AS score FROM p""")
 def score_dimensions_measured(spark, sf_dir):
     """As score_dimensions, whose SQL has literals for three of the counts, with all counts taken from the table."""
     return score.maintainability_dimension(_measured_counts(spark, sf_dir))
@@ -582,7 +591,10 @@ def score_total_grade(spark, sf_dir):
     return total.withColumn("grade", score.grade(F.col("total")))
 
 
-@query()
+@query(f"""
+WITH {_SQL_MEASURED}, b AS (SELECT 'dead_code' AS breakdown, dead_code AS v, 30 AS t, 1 AS priority, 'remove code that nothing uses' AS advice FROM p UNION ALL SELECT 'large_files', large_files, 30, 2, 'split large files' FROM p
+  UNION ALL SELECT 'duplication', duplication, 30, 1, 'extract what is duplicated' FROM p UNION ALL SELECT 'pattern', pattern, 20, 3, 'unify repeated patterns' FROM p)
+SELECT breakdown, CAST(greatest(1, priority - CASE WHEN v > 50 THEN 1 ELSE 0 END) AS INTEGER) AS priority, CAST(floor(v * 0.3::DOUBLE * 0.3::DOUBLE + 0.5) AS INTEGER) AS impact, advice FROM b WHERE v > t""")
 def recommendations(spark, sf_dir):
     row = score.maintainability_dimension(_measured_counts(spark, sf_dir))
     return score.recommendations(row.unpivot([], ["dead_code", "large_files", "duplication", "pattern"], "breakdown", "value"))
@@ -673,7 +685,7 @@ def rename_apply(spark, sf_dir):
     return rewrite.rename(files, "the", "der").select("doc_id", F.md5("content").alias("hash"))
 
 
-@query()
+@query(r"SELECT doc_id::VARCHAR AS doc_id, md5(regexp_replace(text, '\bthe\b', 'der', 'g')) AS hash FROM documents")
 def rename_by_edits(spark, sf_dir):
     files = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     return rewrite.apply_edits(files, rewrite.rename_edits(files, "the", "der")).select(F.col("path").alias("doc_id"), F.md5("content").alias("hash"))
@@ -773,3 +785,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from . import code_queries  # noqa: E402,F401  registers its queries
