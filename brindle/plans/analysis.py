@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clones, graph, metrics, rules, score, symbols
+from ..functions import scalar as s
+from ..operators import clones, graph, metrics, parse, rules, score, symbols
 
 
 class Project:
@@ -15,10 +16,17 @@ class Project:
         self.files = files
 
     def symbols(self) -> DataFrame:
-        return symbols.symbols(self.files)
+        return parse.symbols(self.files)
 
     def imports(self) -> DataFrame:
-        return symbols.imports(self.files)
+        return parse.imports(self.files)
+
+    def functions(self) -> DataFrame:
+        return parse.functions(self.files)
+
+    def complexity(self) -> DataFrame:
+        """Per file: sums, mean, maximum and the most complex function."""
+        return metrics.roll_up(self.functions())
 
     def edges(self) -> DataFrame:
         return graph.edges_of(graph.resolve(self.imports(), self.files))
@@ -38,9 +46,8 @@ class Project:
         """(dimension, score, weight, weighted) in four rows."""
         files, imports_ = self.files, self.imports()
         n = files.count()
-        m = self.metrics().select(
-            F.greatest(F.col("methods"), F.lit(1)).alias("functions"), F.col("cyclomatic").alias("most"), (F.col("cyclomatic") / F.greatest(F.col("methods"), F.lit(1))).alias("average"),
-            metrics.cognitive_from(F.col("cyclomatic")).alias("cognitive"), "params",
+        m = self.functions().groupBy("path").agg(
+            F.count("*").alias("functions"), F.max("cyclomatic").alias("most"), F.avg("cyclomatic").alias("average"), F.sum("cognitive").alias("cognitive"), F.max("params").alias("params")
         )
         declared = self.symbols()
         dead = symbols.unused(declared, symbols.identifiers(files))
@@ -63,3 +70,17 @@ class Project:
             F.count_if(c == "security").alias("security_issues"),
         ).crossJoin(files.agg(F.count_if(symbols.is_test_file(F.col("path"))).alias("tests"))).withColumn("files", F.lit(n))
         return score.combine(score.complexity_dimension(m), score.maintainability_dimension(upkeep), score.architecture_dimension(built), score.qa_dimension(checked))
+
+    def dead_by_type(self) -> DataFrame:
+        """(type, n, share) of declarations that nothing uses, and (total, ...) of all of them."""
+        declared = self.symbols()
+        dead = symbols.unused(declared, symbols.identifiers(self.files)).groupBy("type").agg(F.count("*").alias("dead"))
+        every = declared.groupBy("type").agg(F.count("*").alias("n")).join(dead, "type", "left").withColumn("dead", F.coalesce("dead", F.lit(0)))
+        both = every.unionByName(every.agg(F.lit("total").alias("type"), F.sum("n").alias("n"), F.sum("dead").alias("dead")))
+        return both.select("type", "n", "dead", s.round2(s.ratio(F.col("dead"), F.col("n")) * 100).alias("percent"))
+
+    def quality_report(self) -> DataFrame:
+        """One row: scores by category from 100 down, their weighted sum with the share of tests, and the files looked at."""
+        n = self.files.agg(F.count("*").alias("files"), F.count_if(symbols.is_test_file(F.col("path"))).alias("tests")).first()
+        share = F.lit(n["tests"] / n["files"] if n["files"] else 0.0)
+        return rules.deductions(self.issues(), share).withColumn("files", F.lit(n["files"])).withColumn("test_files", F.lit(n["tests"]))

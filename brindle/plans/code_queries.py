@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
-from ..operators import clones, graph, index, metrics, rewrite, rules, score, snapshot, symbols
+from ..operators import clones, graph, index, metrics, parse, rewrite, rules, score, snapshot, symbols
 from ..sources import tree
 from ..streaming import changes
+from .analysis import Project
 from .queries import _SQL_PLACES, _events, _places, _symbols, _t, query
 
 _PATH = "'/src/n' || s_nationkey || '/s' || s_suppkey || '.ts'"
@@ -100,6 +101,34 @@ def code_in_scope(spark, sf_dir):
     return index.in_scope(symbols.symbols(_code(spark, sf_dir)), "class:Supplier7").select("name")
 
 
+_SQL_ENDS = "CASE type WHEN 'class' THEN 11 WHEN 'function' THEN 10 WHEN 'interface' THEN 3 ELSE line END"
+
+
+@query(f"WITH {_SQL_DECLARED} SELECT path, name, type, line AS start_line, col AS start_col, CAST({_SQL_ENDS} AS INTEGER) AS end_line, scope, modifiers FROM d")
+def code_parsed_symbols(spark, sf_dir):
+    found = parse.symbols(_code(spark, sf_dir))
+    return found.select("path", "name", "type", "start_line", "start_col", "end_line", s.scope_key(F.col("scope")).alias("scope"), F.array_join("modifiers", " ").alias("modifiers"))
+
+
+@query(f"SELECT {_PATH} AS path, 'total' AS name, 5 AS start_line, 10 AS end_line, 1 AS params, 3 AS cyclomatic, 2 AS cognitive, 1 AS nesting FROM supplier")
+def code_functions(spark, sf_dir):
+    return parse.functions(_code(spark, sf_dir))
+
+
+@query(f"SELECT {_PATH} AS path, 'total' AS name FROM supplier")
+def code_innermost(spark, sf_dir):
+    """What holds line 7, column 9 of each file."""
+    return symbols.innermost(parse.symbols(_code(spark, sf_dir)), 7, 9).select("path", "name")
+
+
+@query(f"""
+WITH {_SQL_DECLARED}, n AS (SELECT type, count(*) AS n, 0 AS dead FROM d GROUP BY type), u AS (SELECT count(*) AS k FROM supplier WHERE s_suppkey % 5 <> 0),
+x AS (SELECT type, n, CASE WHEN type = 'constant' THEN k ELSE 0 END AS dead FROM n, u), t AS (SELECT type, n, dead FROM x UNION ALL SELECT 'total', sum(n), sum(dead) FROM x)
+SELECT type, CAST(n AS BIGINT) AS n, CAST(dead AS BIGINT) AS dead, floor(dead / n * 100 * 100 + 0.5::DOUBLE) / 100.0::DOUBLE AS percent FROM t""")
+def code_dead_by_type(spark, sf_dir):
+    return Project(_code(spark, sf_dir)).dead_by_type()
+
+
 _SQL_IMPORTS = f"""i AS (
   SELECT {_PATH} AS path, 1 AS line, '../base' AS specifier, 'import' AS kind, true AS is_relative, 'Base,Other' AS imported FROM supplier
   UNION ALL SELECT {_PATH}, 2, './index', 'import', true, 'Index' FROM supplier
@@ -134,6 +163,11 @@ def code_structural(spark, sf_dir):
     return inner.select("name").unionByName(index.exact(found, "helper3").select("name"))
 
 
+@query(f"WITH {_SQL_IMPORTS} SELECT * FROM i")
+def code_parsed_imports(spark, sf_dir):
+    return parse.imports(_code(spark, sf_dir)).withColumn("imported", F.array_join("imported", ","))
+
+
 # --- graph
 
 _SQL_RESOLVED = f"""r AS (
