@@ -50,10 +50,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs).where("kept and doc_id is not null")
     kept = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows")))
     given = _wrapped(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = given.join(kept, "doc_id")
-    once = own.where("rows = 1").select("row")
-    each = own.where("rows > 1").groupBy("doc_id", "text").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
-    return once.unionByName(each).unionByName(given.where("doc_id is null").select("row")).select("row.*")
+    # ids grow with the table: joined by a shuffle, not sent to the driver and around
+    own = given.join(kept.hint("merge"), "doc_id")
+    stays = own.where("rows = 1").select("row")
+    if not kept.where("rows > 1").isEmpty():
+        stays = stays.unionByName(own.where("rows > 1").groupBy("doc_id", "text").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
+    return stays.unionByName(given.where("doc_id is null").select("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
