@@ -142,6 +142,8 @@ def symbols(files: DataFrame, packs: tuple[LanguagePack, ...] = PACKS) -> DataFr
     extends = F.nullif(F.regexp_extract("text", r"\bextends\s+([\w$.]+)", 1), F.lit(""))
     implements = F.filter(F.transform(F.split(F.regexp_extract("text", r"\bimplements\s+([\w$.,\s<>]+?)\s*\{", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
     swift = F.col("language") == "swift"
+    # only the first parent of a class can be its superclass
+    above = swift & (F.col("d.type") == "class") & (F.size(parents) > 0) & ~F.coalesce(is_protocol(F.get(parents, 0)), F.lit(True))
     return (
         lines.withColumn("scope", scope).where("d is not null and d.name <> ''")
         .select(
@@ -150,8 +152,8 @@ def symbols(files: DataFrame, packs: tuple[LanguagePack, ...] = PACKS) -> DataFr
             F.expr("cast(position(d.name, text) + length(d.name) as int)").alias("end_col"), "scope",
             F.filter(F.split("d.modifiers", r"\s+"), lambda x: x != "").alias("modifiers"),
             F.transform(F.regexp_extract_all("text", F.lit(r"@(\w+)"), 1), lambda x: F.concat(F.lit("@"), x)).alias("attributes"),
-            F.when(swift, F.get(F.filter(parents, lambda x: ~is_protocol(x)), 0)).otherwise(extends).alias("superclass"),
-            F.when(swift, F.filter(parents, is_protocol)).otherwise(implements).alias("implements"),
+            F.when(above, F.get(parents, 0)).when(~swift, extends).alias("superclass"),
+            F.when(above, F.slice(parents, F.lit(2), F.greatest(F.size(parents) - 1, F.lit(0)))).when(swift, parents).otherwise(implements).alias("implements"),
         )
         .dropDuplicates(["path", "name", "type", "start_line"])
     )
