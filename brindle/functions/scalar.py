@@ -49,6 +49,35 @@ def intersection(a: Column, b: Column) -> Column:
     return F.filter(a, lambda x: F.coalesce(F.array_contains(b, x), F.lit(False)))
 
 
+# --- objects, as maps
+
+def pick(m: Column, *keys: str) -> Column:
+    """The entries of these keys; none of a null map."""
+    return F.map_filter(m, lambda k, v: k.isin(*keys) if keys else F.lit(False))
+
+
+def omit(m: Column, *keys: str) -> Column:
+    return F.map_filter(m, lambda k, v: ~k.isin(*keys) if keys else F.lit(True))
+
+
+def merged(a: Column, b: Column) -> Column:
+    """Entries of both; b's values where both have a key."""
+    return F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k)), b)
+
+
+def is_empty(m: Column) -> Column:
+    return m.isNull() | (F.size(m) <= 0)
+
+
+def at_path(json: Column, path: str) -> Column:
+    """The value at a path like a.b[0] of a JSON text; null if there is none."""
+    return F.get_json_object(json, "$." + path)
+
+
+def has_path(json: Column, path: str) -> Column:
+    return at_path(json, path).isNotNull()
+
+
 # --- strings
 
 def escape_regex(text: str) -> str:

@@ -19,16 +19,14 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def _distinct(text: Column, pattern: str) -> Column:
-    return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0)))
-
-
 def halstead(df: DataFrame, text: str = "content") -> DataFrame:
     """`df` with n1, n2 (distinct operators, operands), N1, N2 (all), volume, difficulty, effort, hours and bugs."""
     t = F.col(text)
-    counts = df.select(
-        "*", (_distinct(t, MULTI_OPERATORS) + _distinct(t, SINGLE_OPERATORS)).alias("h1"), _distinct(t, OPERANDS).alias("h2"),
-        (_count(t, MULTI_OPERATORS) + _count(t, SINGLE_OPERATORS)).alias("t1"), _count(t, OPERANDS).alias("t2"),
+    found = df.select("*", *[F.regexp_extract_all(t, F.lit(p), 0).alias(f"_{k}") for k, p in enumerate((MULTI_OPERATORS, SINGLE_OPERATORS, OPERANDS))])
+    distinct = lambda c: F.size(F.array_distinct(c))
+    # each list is made once and both counted and made distinct
+    counts = found.select(
+        *df.columns, (distinct("_0") + distinct("_1")).alias("h1"), distinct("_2").alias("h2"), (F.size("_0") + F.size("_1")).alias("t1"), F.size("_2").alias("t2")
     )
     volume = (F.col("t1") + F.col("t2")) * F.log2(F.greatest(F.lit(1), F.col("h1") + F.col("h2")).cast("double"))
     difficulty = (F.col("h1") / 2.0) * (F.col("t2") / F.greatest(F.lit(1), F.col("h2")))

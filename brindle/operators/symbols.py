@@ -78,6 +78,31 @@ SWIFT_PROTOCOLS = (
 )
 
 
+# Kinds of declarations that count as abstract.
+ABSTRACT = ("class", "interface", "type", "enum", "function", "module", "namespace")
+
+
+def is_abstract_declaration(kind: Column) -> Column:
+    return kind.isin(*ABSTRACT)
+
+
+# Parts of specifiers of development tools.
+DEVELOPMENT = ("@types/", "jest", "vitest", "eslint", "prettier", "webpack", "rollup", "vite", "typescript")
+
+
+def dependency_category(specifier: Column, type_only: Column) -> Column:
+    """type for imports of types alone, dev for development tools, runtime for others."""
+    tool = F.lit(False)
+    for name in DEVELOPMENT:
+        tool |= specifier.contains(name)
+    return F.when(F.coalesce(type_only, F.lit(False)), "type").when(tool, "dev").otherwise("runtime")
+
+
+def clean_specifier(specifier: Column) -> Column:
+    """Without a query and fragment, with forward slashes."""
+    return F.translate(F.regexp_replace(specifier, r"[?#].*$", ""), "\\", "/")
+
+
 def packs_table(spark: SparkSession, packs: tuple[LanguagePack, ...] = PACKS) -> DataFrame:
     return spark.createDataFrame(
         [(p.name, p.version, list(p.extensions), list(p.languages), i) for i, p in enumerate(packs)],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -174,3 +175,28 @@ def recent(log: DataFrame, keep: int = 50, key: tuple[str, ...] = (), ts: str =
     """The last `keep` entries of each key."""
     order = W.partitionBy(*key).orderBy(F.desc(ts), F.desc(tie))
     return log.withColumn("recency", F.row_number().over(order)).where(F.col("recency") <= keep)
+
+
+def semantic(files: DataFrame, text: str, limit: int = 100, content: str = "content", key: str = "path") -> DataFrame:
+    """(key, score) of the files most like `text`: cosine of term frequency times inverse document frequency, ln((1 + files) / (1 + files with it)) + 1.
+
+    Words are runs of ASCII letters and digits in lower case.  Counts are taken
+    over all files; only files with a word of the text get past the last join.
+    """
+    word = r"[a-z0-9]+"
+    counted = files.select(key, F.explode(F.regexp_extract_all(F.lower(content), F.lit(word), 0)).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
+    total = files.agg(F.count("*").alias("files"))
+    idf = counted.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("w", (F.log((F.col("files") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    weighed = counted.join(idf, "w").withColumn("x", F.col("n") * F.col("idf"))
+    asked: dict[str, int] = {}
+    for w in re.findall(word, text.lower()):
+        asked[w] = asked.get(w, 0) + 1
+    if not asked:
+        return files.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
+    times = F.element_at(F.create_map(*[F.lit(v) for kv in asked.items() for v in kv]), F.col("w"))
+    own = F.col("w").isin(*asked)
+    q = idf.where(own).agg(F.sqrt(F.sum(F.pow(times * F.col("idf"), 2))).alias("q"))
+    dots = weighed.groupBy(key).agg(
+        F.sum(F.when(own, F.col("x") * times * F.col("idf"))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")
+    ).where("dot is not null")
+    return dots.crossJoin(F.broadcast(q)).select(key, (F.col("dot") / F.col("norm") / F.col("q")).alias("score")).orderBy(F.desc("score"), key).limit(limit)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
-from ..operators import clones, graph, index, metrics, parse, rewrite, rules, score, snapshot, symbols
+from ..operators import clones, graph, index, metrics, parse, rewrite, rules, score, snapshot, symbols, textsearch
 from ..sources import tree
 from ..streaming import changes
 from .analysis import Project
@@ -129,6 +129,11 @@ def code_dead_by_type(spark, sf_dir):
     return Project(_code(spark, sf_dir)).dead_by_type()
 
 
+@query(f"WITH {_SQL_DECLARED} SELECT path, name FROM d WHERE type IN ('class', 'function', 'interface')")
+def code_abstract(spark, sf_dir):
+    return parse.symbols(_code(spark, sf_dir)).where(symbols.is_abstract_declaration(F.col("type"))).select("path", "name")
+
+
 _SQL_IMPORTS = f"""i AS (
   SELECT {_PATH} AS path, 1 AS line, '../base' AS specifier, 'import' AS kind, true AS is_relative, 'Base,Other' AS imported FROM supplier
   UNION ALL SELECT {_PATH}, 2, './index', 'import', true, 'Index' FROM supplier
@@ -671,3 +676,38 @@ def hit_rates(spark, sf_dir):
     t = F.col("event_type")
     n = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(t != "click").alias("h"), F.count_if(t == "click").alias("m"))
     return n.select("user_id", s.hit_rate(F.col("h"), F.col("m")).alias("rate"))
+
+
+@query("""
+SELECT p_partkey, coalesce(array_to_string(list_sort(map_keys(m)), ','), '') AS picked FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN MAP {'a': 1, 'b': 2} ELSE MAP {'b': 2} END AS m FROM part)""")
+def object_functions(spark, sf_dir):
+    """a is there for even parts; c and d are merged in, and d and e taken away again."""
+    lit = F.lit
+    own = F.when(F.col("p_partkey") % 2 == 0, F.create_map(lit("a"), lit(1), lit("b"), lit(0))).otherwise(F.create_map(lit("b"), lit(0)))
+    both = s.omit(s.merged(own, F.create_map(lit("b"), lit(2), lit("c"), lit(3), lit("d"), lit(4))), "d", "e")
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(F.sort_array(F.map_keys(s.pick(both, "a", "b", "x"))), ",").alias("picked"))
+
+
+@query(r"""
+SELECT event_id, regexp_extract(props, '"k": ([0-9]+)', 1) AS k, false AS other FROM events""")
+def object_paths(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", s.at_path(F.col("props"), "k").alias("k"), s.has_path(F.col("props"), "k.z").alias("other"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL),
+i AS (SELECT w, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf FROM c GROUP BY w), x AS (SELECT doc_id, w, n * idf AS x, idf FROM c JOIN i USING (w)),
+d AS (SELECT doc_id, sum(x * idf * CASE w WHEN 'license' THEN 2 ELSE 1 END) FILTER (w IN ('license', 'under', 'the')) AS dot, sqrt(sum(x * x)) AS norm FROM x GROUP BY doc_id),
+q AS (SELECT sqrt(sum(power(idf * CASE w WHEN 'license' THEN 2 ELSE 1 END, 2))) AS q FROM i WHERE w IN ('license', 'under', 'the'))
+SELECT doc_id, floor(dot / norm / q * 1e9 + 0.5) AS score FROM d, q WHERE dot IS NOT NULL""")
+def search_semantic(spark, sf_dir):
+    found = textsearch.semantic(_t(spark, sf_dir, "documents"), "license under the License", (1 << 31) - 1, "text", "doc_id")
+    return found.select("doc_id", F.floor(F.col("score") * 1e9 + 0.5).alias("score"))
+
+
+@query(r"""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'type' WHEN 1 THEN 'dev' ELSE 'runtime' END AS category, CASE p_partkey % 4 WHEN 2 THEN './a/' || p_name WHEN 1 THEN '@types/' || p_name ELSE p_name END AS path FROM part""")
+def dependency_categories(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    spec = F.when(k == 2, F.concat(F.lit(".\\a\\"), "p_name", F.lit("?raw#x"))).when(k == 1, F.concat(F.lit("@types/"), "p_name", F.lit("#y"))).otherwise(F.col("p_name"))
+    return _t(spark, sf_dir, "part").select("p_partkey", symbols.dependency_category(spec, k == 0).alias("category"), symbols.clean_specifier(spec).alias("path"))

@@ -81,6 +81,77 @@ def start_index(events: DataFrame, merge, checkpoint: str, trigger: dict | None
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+class Watch:
+    """An index kept up to date from a stream, which can be paused: a pause stops the query, resuming goes on from its checkpoint.
+
+    `events` makes the streaming DataFrame anew each time; what arrives during a
+    pause is read afterwards, none is lost.
+    """
+
+    def __init__(self, events, merge, checkpoint: str):
+        self.events, self.merge, self.checkpoint, self.query, self.batches = events, merge, checkpoint, None, 0
+
+    def _each(self, batch: DataFrame, batch_id: int) -> None:
+        self.merge(batch, batch_id)
+        self.batches += 1
+
+    def resume(self, interval: str = "1 second") -> None:
+        if not self.active:
+            self.query = start_index(self.events(), self._each, self.checkpoint, {"processingTime": interval})
+
+    def pause(self) -> None:
+        if self.active:
+            self.query.stop()
+            self.query.awaitTermination()
+
+    def flush(self) -> None:
+        """Works all that is there, then goes on if it was going."""
+        going = self.active
+        self.pause()
+        start_index(self.events(), self._each, self.checkpoint).awaitTermination()
+        if going:
+            self.resume()
+
+    @property
+    def active(self) -> bool:
+        return self.query is not None and self.query.isActive
+
+    def status(self) -> dict:
+        return {"active": self.active, "batches": self.batches, "checkpoint": self.checkpoint}
+
+
+class Caches:
+    """Named DataFrames kept by the session, each computed once; the driver holds names and counts only."""
+
+    def __init__(self):
+        self.held: dict[str, DataFrame] = {}
+        self.hits: dict[str, int] = {}
+        self.misses: dict[str, int] = {}
+
+    def get(self, name: str, make) -> DataFrame:
+        if name in self.held:
+            self.hits[name] = self.hits.get(name, 0) + 1
+        else:
+            self.misses[name] = self.misses.get(name, 0) + 1
+            self.held[name] = make().persist()
+        return self.held[name]
+
+    def warm_up(self, makers: dict) -> None:
+        for name, make in makers.items():
+            self.get(name, make).count()
+
+    def invalidate(self, prefix: str = "") -> list[str]:
+        """Gives up all whose name begins with the prefix; returns their names."""
+        gone = [n for n in self.held if n.startswith(prefix)]
+        for name in gone:
+            self.held.pop(name).unpersist()
+        return gone
+
+    def stats(self) -> list[tuple[str, int, int, bool]]:
+        """(name, hits, misses, held) of all names asked for."""
+        return [(n, self.hits.get(n, 0), self.misses.get(n, 0), n in self.held) for n in sorted({*self.hits, *self.misses})]
+
+
 def capped_history(events: DataFrame, key: str, most: int = 1000, tie: str = "event_id") -> DataFrame:
     """Batch: the newest `most` events of each key."""
     order = W.partitionBy(key).orderBy(F.desc("ts"), F.desc(tie))
