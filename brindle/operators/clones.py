@@ -62,10 +62,13 @@ def normalised(fragments: DataFrame, code: str = "code", key: str = "path", leas
 
 
 def token_sets(fragments: DataFrame, code: str = "code", key: str = "path") -> DataFrame:
-    """(id, tokens, n): distinct lower-cased tokens of each distinct text; equal texts stand for one another."""
-    return fragments.groupBy(F.md5(F.col(code)).alias("digest")).agg(F.min(key).alias("id"), F.any_value(F.col(code)).alias("code")).select(
-        "id", "code", F.array_distinct(F.regexp_extract_all(F.lower("code"), F.lit(r"[^\s]+"), 0)).alias("tokens")
-    ).withColumn("n", F.size("tokens")).where("n > 0")
+    """(id, tokens, n): 64-bit hashes of the distinct lower-cased tokens of each distinct text; equal texts stand for one another.
+
+    Sets are formed where the texts lie; only hashes are shuffled, under two hashes of the text.
+    """
+    hashed = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(code), F.lit(r"[^\s]+"), 0)), lambda t: F.xxhash64(t))
+    own = fragments.select(F.md5(F.col(code)).alias("digest"), F.col(key).alias("key"), hashed.alias("tokens"))
+    return own.groupBy("digest", "tokens").agg(F.min("key").alias("id")).select("id", "tokens", F.size("tokens").alias("n")).where("n > 0")
 
 
 def similar_pairs(sets: DataFrame, least: float = 0.7, below: float | None = None) -> DataFrame:
