@@ -26,7 +26,29 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return _measured(df.checkpoint(eager=True))
+
+
+def _estimate(plan) -> int:
+    try:
+        return plan.stats().sizeInBytes()
+    except ValueError:  # more digits than Python reads
+        return 2**63
+
+
+def _measured(done: DataFrame) -> DataFrame:
+    """The checkpoint `done`, as a table of unknown size where its estimated size has outgrown all sense.
+
+    A checkpoint keeps the estimate of the plan that it replaces, and a join's
+    is the product of both sides: a loop squares it in every round, and soon
+    the driver is filled with numbers of millions of digits.  From 2^63 bytes
+    on it is forgotten; adaptive execution goes by the sizes that it meets.
+    """
+    plan = done._jdf.queryExecution().analyzed()
+    if _estimate(plan) < 2**63:
+        return done
+    session = done.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(plan.rdd(), done._jdf.schema(), False), session)
 
 
 def parts(spark: SparkSession) -> int:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -94,3 +95,25 @@ def test_large_families_of_several_parts_with_outsiders(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, words=4).collect()}
     assert got == brute_force(rows, 4, 80)
+
+
+def test_estimates_stay_small_on_long_chains(spark, monkeypatch):
+    from brindle.llm import neardup
+    from brindle.operators import components
+
+    from ..test_components import estimate
+
+    found, cut = [], components.cut
+
+    def seen(df):
+        found.append(cut(df))
+        return found[-1]
+
+    for module in (neardup, components):
+        monkeypatch.setattr(module, "cut", seen)
+    # each text is like its neighbours in the chain only, and ids are in no order
+    ids = random.Random(2).sample(range(150), 150)
+    rows = [(i, " ".join(f"c{j}" for j in range(3 * k, 3 * k + 50))) for k, i in enumerate(ids)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    assert got == brute_force(rows, 4, 80)
+    assert [x for df in found if isinstance(x := estimate(df), str) or x >= 2**63] == []

@@ -1,8 +1,19 @@
 import random
 
+from brindle.lineage import cut
+from brindle.operators import components
 from brindle.operators.components import connected
 
 
+def estimate(df):
+    """Bytes that Spark plans with; as a string where Python does not read the number."""
+    stats = df._jdf.queryExecution().analyzed().stats()
+    try:
+        return stats.sizeInBytes()
+    except ValueError:
+        return stats.simpleString()
+
+
 def union_find(edges):
     parent = {}
 
@@ -36,3 +47,32 @@ def test_no_edges_loops_and_nulls(spark):
 def test_names(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b")], "src string, dst string")
     assert {r.node: r.component for r in connected(edges, "src", "dst").collect()} == {"a": "a", "b": "a", "c": "a"}
+
+
+def test_estimates_do_not_grow_with_rounds(spark, monkeypatch):
+    found = []
+
+    def seen(df):
+        found.append(cut(df))
+        return found[-1]
+
+    monkeypatch.setattr(components, "cut", seen)
+    ids = random.Random(1).sample(range(400), 400)
+    got = connected(spark.createDataFrame(list(zip(ids, ids[1:])), "u long, v long")).collect()
+    assert sorted((r.node, r.component) for r in got) == [(i, 0) for i in range(400)]
+    assert len(found) > 20 and [x for df in found if isinstance(x := estimate(df), str) or x >= 2**63] == []
+
+
+def test_cut_keeps_rows_and_columns_and_small_estimates(spark):
+    df = spark.createDataFrame([(1, "a", [1, None], None), (None, None, None, 2.5)], "id long, text string, list array<int>, `odd.name` double")
+    rows = df.collect()
+    small = cut(df)
+    assert small.collect() == rows and estimate(small) == estimate(df) < 2**63
+    large = df
+    for k in range(8):
+        other = large.select(*[large[f"`{c}`"].alias(f"{c}_{k}") for c in df.columns])
+        large = cut(large.join(other, large.id.eqNullSafe(other[f"id_{k}"])).select("id", "text", "list", "`odd.name`"))
+        assert estimate(large) < 2**63
+    assert sorted(large.collect(), key=str) == sorted(rows, key=str) and large.schema == df.schema
+    # joined with itself, as other tables are
+    assert large.alias("a").join(large.alias("b"), "id").count() == 1
