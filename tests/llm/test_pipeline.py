@@ -127,3 +127,22 @@ def test_run_leaves_only_the_result(spark, sf):
     files = p.run(spark, sf).inputFiles()
     folder = urllib.parse.urlparse(files[0]).path.rsplit("/", 2)[0]
     assert [f.rsplit("/", 1)[1] for f in glob.glob(f"{folder}/*")] == ["packing"]
+
+
+def test_near_dedup_plans_with_small_estimates_on_long_chains(spark, sf, monkeypatch):
+    from brindle.operators import components
+
+    from ..test_components import estimate
+
+    found, cut = [], components.cut
+
+    def seen(df):
+        found.append(cut(df))
+        return found[-1]
+
+    monkeypatch.setattr(components, "cut", seen)
+    # each text is like its neighbours in the chain only, and ids are in no order
+    rows = [(k * 37 % 120, " ".join(f"c{j}" for j in range(2 * k, 2 * k + 50))) for k in range(120)]
+    got = p.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert [r.doc_id for r in got] == [0]
+    assert [x for df in found if isinstance(x := estimate(df), str) or x >= 2**63] == []
