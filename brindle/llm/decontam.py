@@ -156,7 +156,7 @@ def _plain_words(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for at in range(0, len(column), 512):
         some = pc.utf8_lower(pc.utf8_normalize(pc.fill_null(column.slice(at, 512).cast(pa.large_string()), ""), form="NFKC"))
         some = pc.replace_substring_regex(pc.replace_substring_regex(some, pattern=_MARKS, replacement=" "), pattern=_UNSPACED, replacement=r" \1 ")
-        for a, b, data, offsets in textkit.text_chunks(some):
+        for a, b, data, offsets in textkit.text_chunks(some, textkit.SMALL_BYTES):
             data = textkit.plain(data)
             starts, ends, first = textkit.word_spans(data, offsets)
             yield at + a, at + b, textkit.word_hashes(data, starts, ends), first

@@ -53,7 +53,7 @@ def _signature(grams: np.ndarray, begin: np.ndarray, coordinates: int) -> np.nda
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for a, b, data, offsets in textkit.text_chunks(column):
+    for a, b, data, offsets in textkit.text_chunks(column, textkit.SMALL_BYTES):
         starts, ends, first = textkit.word_spans(data, offsets)
         yield a, b, *textkit.gram_hashes(textkit.word_hashes(data, starts, ends), first, words)
 

@@ -57,7 +57,7 @@ def _runs(key: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 def features(column: pa.Array) -> np.ndarray:
     """One row of `FEATURES` for each text; null is the empty text."""
     out = [np.zeros((0, len(FEATURES)))]
-    for a, b, data, offsets in textkit.text_chunks(column):
+    for a, b, data, offsets in textkit.text_chunks(column, textkit.SMALL_BYTES):
         n, size = b - a, np.diff(offsets)
         text_of_byte = np.repeat(np.arange(n), size)
         shares = np.bincount(text_of_byte * (len(_CLASSES) + 1) + _CLASS_OF[data], minlength=n * (len(_CLASSES) + 1)).reshape(n, -1)

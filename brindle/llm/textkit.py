@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time; bounds the memory of the arrays below.
 CHUNK_BYTES = 1 << 20
+#: The same where many arrays of eight bytes a byte are made: a worker keeps what it once needed, beside the others of its executor.
+SMALL_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -51,19 +53,19 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_cache: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = CHUNK_BYTES * 2
-    while size < n:
-        size *= 2
-    if size not in _cache:
+    if not _cache or len(_cache[0][0]) < n:
+        size = SMALL_BYTES * 2
+        while size < n:
+            size *= 2
         tables = _powers(_MUL, size), _powers(_INV, size)
         if size > CHUNK_BYTES * 2:  # one very long text: do not keep its tables
             return tables
-        _cache[size] = tables
-    return _cache[size]
+        _cache[:] = [tables]
+    return _cache[0]
 
 
 def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

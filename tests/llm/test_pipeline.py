@@ -146,3 +146,24 @@ def test_near_dedup_plans_with_small_estimates_on_long_chains(spark, sf, monkeyp
     got = p.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
     assert [r.doc_id for r in got] == [0]
     assert [x for df in found if isinstance(x := estimate(df), str) or x >= 2**63] == []
+
+
+def test_workers_need_little_beside_their_texts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from brindle.llm import decontam, neardup, quality, textkit
+
+    texts = pa.array([" ".join(f"w{i * 7 + j * j % 911}" for j in range(400)) for i in range(1_500)])
+    assert texts.nbytes > 2_000_000
+    textkit._cache.clear()
+    tracemalloc.start()
+    try:
+        assert len(quality.features(texts)) == len(texts)
+        assert sum(b - a for a, b, *_ in neardup._sets(texts, 5)) == len(texts)
+        assert sum(b - a for a, b, *_ in decontam._plain_words(texts)) == len(texts)
+        # executors hold a worker for each core, which keep what they once had
+        assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    finally:
+        tracemalloc.stop()
