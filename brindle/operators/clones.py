@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalar as s
+from . import allpairs
 
 TOKENS = r"[\p{L}_$][\p{L}\p{N}_$]*|[0-9]+(?:\.[0-9]+)?|\"[^\"\n]*\"|'[^'\n]*'|[^\s\p{L}\p{N}_]"
 # Words of the languages that normalisation leaves.
@@ -71,22 +72,13 @@ def token_sets(fragments: DataFrame, code: str = "code", key: str = "path") -> D
     return own.groupBy("digest", "tokens").agg(F.min("key").alias("id")).select("id", "tokens", F.size("tokens").alias("n")).where("n > 0")
 
 
-def similar_pairs(sets: DataFrame, least: float = 0.7, below: float | None = None) -> DataFrame:
-    """(a, b, jaccard) with least <= jaccard, exact, by prefix filtering.
+def similar_pairs(sets: DataFrame, least: float = 0.7, below: float | None = None, rows: int | None = None) -> DataFrame:
+    """(a, b, jaccard) with least <= jaccard, exact: pairs that their sketches admit, confirmed on the sets.
 
-    Tokens are ordered rarest first; sets that alike share one of their first
-    n - ceil(least * n) + 1 tokens, so only those are joined, and sizes must be
-    within the threshold of each other.
+    `rows` says about how many sets there are, where that is known.
     """
-    exploded = sets.select("id", "n", F.explode("tokens").alias("t"))
-    df = exploded.groupBy("t").agg(F.count("*").alias("df"))
-    ordered = (
-        exploded.join(df, "t").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
-        .select("id", "n", F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int")).alias("p"))
-        .select("id", "n", F.explode("p").alias("p")).where("p.df > 1").select("id", "n", F.col("p.t").alias("t"))
-    )
-    a, b = ordered.toDF("a", "na", "t"), ordered.toDF("b", "nb", "t")
-    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("nb") >= F.col("na") * least - 1e-9) & (F.col("na") >= F.col("nb") * least - 1e-9)).select("a", "b").distinct()
+    rows = sets.count() if rows is None else rows
+    pairs = allpairs.candidates(allpairs.sketches(sets, False), rows, False, least, allpairs.jaccard_bound(least))
     x, y = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb"))
     found = pairs.join(x, "a").join(y, "b").select("a", "b", (shared / (F.size("ta") + F.size("tb") - shared)).alias("jaccard")).where(F.col("jaccard") >= least)

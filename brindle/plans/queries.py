@@ -522,7 +522,8 @@ w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '[^\s]+')) AS t
 p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM w a JOIN w b ON a.t = b.t AND a.id < b.id GROUP BY ALL)
 SELECT p.a, p.b, k / (x.n + y.n - k) AS jaccard FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b WHERE k / (x.n + y.n - k) >= 0.8""")
 def clones_jaccard(spark, sf_dir):
-    return clones.similar_pairs(clones.token_sets(_t(spark, sf_dir, "documents"), "text", "doc_id"), 0.8)
+    docs = _t(spark, sf_dir, "documents")
+    return clones.similar_pairs(clones.token_sets(docs, "text", "doc_id"), 0.8, rows=docs.count())
 
 
 @query()
