@@ -220,22 +220,25 @@ def identifiers(files: DataFrame, content: str = "content") -> DataFrame:
     return to_lines(files, content).select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*"), 0))).alias("name"))
 
 
-def unused(declared: DataFrame, words: DataFrame) -> DataFrame:
-    """SYMBOLS that appear on no other line than their own; exported, public and protected ones are left out.
+def marked_unused(declared: DataFrame, words: DataFrame) -> DataFrame:
+    """SYMBOLS with `unused`: whether they appear on no other line than their own and are not exported, public or protected.
 
     Lines of a name are counted, up to those of one more than is declared, so a
     very common name is a number like others and joins no rows with rows.
     """
     open_ = F.exists("modifiers", lambda m: m.isin("export", "public", "protected", "open"))
-    own = declared.where(~F.coalesce(open_, F.lit(False)))
     lines = words.select(F.col("name").alias("n"), F.col("path").alias("p"), F.col("line").alias("l")).distinct()
     seen = lines.groupBy("n").agg(F.count("*").alias("_lines"))
     here = lines.withColumnsRenamed({"n": "name", "p": "path", "l": "start_line"}).withColumn("_here", F.lit(1))
-    joined = own.join(seen, own.name == seen.n, "left").join(here, ["name", "path", "start_line"], "left")
+    joined = declared.join(seen, declared.name == seen.n, "left").join(here, ["name", "path", "start_line"], "left")
     alone = F.coalesce("_lines", F.lit(0)) == F.coalesce("_here", F.lit(0))
-    return joined.where(alone).select(*[own[c] if c not in ("name", "path", "start_line") else F.col(c) for c in declared.columns]).withColumn(
-        "confidence", F.when(F.array_contains("modifiers", "private"), 1.0).otherwise(0.95)
-    )
+    own = [declared[c] if c not in ("name", "path", "start_line") else F.col(c) for c in declared.columns]
+    return joined.select(*own, (alone & ~F.coalesce(open_, F.lit(False))).alias("unused"))
+
+
+def unused(declared: DataFrame, words: DataFrame) -> DataFrame:
+    """SYMBOLS that appear on no other line than their own; exported, public and protected ones are left out."""
+    return marked_unused(declared, words).where("unused").drop("unused").withColumn("confidence", F.when(F.array_contains("modifiers", "private"), 1.0).otherwise(0.95))
 
 
 def innermost(ranges: DataFrame, line: int, column: int) -> DataFrame:

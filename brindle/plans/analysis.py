@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
+from ..lineage import cut
 from ..operators import clones, graph, metrics, parse, rules, score, symbols
 
 
@@ -73,9 +74,8 @@ class Project:
 
     def dead_by_type(self) -> DataFrame:
         """(type, n, share) of declarations that nothing uses, and (total, ...) of all of them."""
-        declared = self.symbols()
-        dead = symbols.unused(declared, symbols.identifiers(self.files)).groupBy("type").agg(F.count("*").alias("dead"))
-        every = declared.groupBy("type").agg(F.count("*").alias("n")).join(dead, "type", "left").withColumn("dead", F.coalesce("dead", F.lit(0)))
+        marked = symbols.marked_unused(self.symbols(), symbols.identifiers(parse.spread(self.files)))
+        every = cut(marked.groupBy("type").agg(F.count("*").alias("n"), F.count_if("unused").alias("dead")))
         both = every.unionByName(every.agg(F.lit("total").alias("type"), F.sum("n").alias("n"), F.sum("dead").alias("dead")))
         return both.select("type", "n", "dead", s.round2(s.ratio(F.col("dead"), F.col("n")) * 100).alias("percent"))
 

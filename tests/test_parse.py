@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from brindle.operators import parse, symbols as by_lines
 
 TS = '''import {
@@ -130,3 +132,14 @@ def test_odd_texts(spark):
         for language in ("typescript", "swift"):
             for f in (parse.symbols, parse.functions, parse.imports):
                 f(table(spark, text, language)).collect()
+
+
+def test_small_files_of_one_split_are_dealt_out(spark):
+    rows = [(f"/f{i}.ts", "typescript", f"const a{i} = 1\nexport const b = a{i % 5}") for i in range(200)]
+    files = spark.createDataFrame(rows, "path string, language string, content string").coalesce(1)
+    tasks = parse.symbols(files).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in tasks) == 400
+    from brindle.plans.analysis import Project
+
+    got = {r.type: (r.n, r.dead) for r in Project(files).dead_by_type().collect()}
+    assert got == {"constant": (400, 195), "total": (400, 195)}
