@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -76,24 +79,41 @@ def apply_edits(files: DataFrame, edits: DataFrame, content: str = "content") ->
     own = edits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start_line", "start_col", "end_line", "end_col", "new_text")), asc=False).alias("_e"))
     with_edits = files.select("path", content).join(own, "path", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for path, text, todo in zip(b["path"], b[content], b["_e"]):
-                if todo is not None and text is not None:
-                    starts = [0]
-                    for line in text.split("\n"):
-                        starts.append(starts[-1] + len(line) + 1)
-                    limit = len(text) + 1
-                    for e in todo:
-                        a, z = starts[e["start_line"] - 1] + e["start_col"] - 1, starts[e["end_line"] - 1] + e["end_col"] - 1
-                        if not 0 <= a <= z <= limit:
-                            raise RewriteError(f"edits overlap or leave the text in {path}")
-                        text, limit = text[:a] + e["new_text"] + text[z:], a
-                out.append(text)
-            yield pd.DataFrame({"path": b["path"], content: out})
-
-    return with_edits.mapInPandas(run, f"path string, {content} string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in portions(whole, content):
+                rows = zip(b.column("path").to_pylist(), b.column(content).to_pylist(), b.column("_e").to_pylist())
+                out = [text if todo is None or text is None else _edited(path, text, todo) for path, text, todo in rows]
+                yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, b.schema.field(content).type)], ["path", content])
+
+    return with_edits.mapInArrow(run, f"path string, {content} string")
+
+
+def portions(batch: pa.RecordBatch, content: str, size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """`batch` (content, _e) in slices of about `size` bytes of text and edits, a row at least: edits are many times as large as objects."""
+    edits = pc.fill_null(pc.list_value_length(batch.column("_e")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = pc.fill_null(pc.binary_length(batch.column(content)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(text + 256 * edits)
+    begin = 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def _edited(path: str, text: str, todo: list[dict]) -> str:
+    """`text` after edits given from the last to the first."""
+    starts = [0]
+    for line in text.split("\n"):
+        starts.append(starts[-1] + len(line) + 1)
+    limit, pieces = len(text) + 1, []
+    for e in todo:
+        a, z = starts[e["start_line"] - 1] + e["start_col"] - 1, starts[e["end_line"] - 1] + e["end_col"] - 1
+        if not 0 <= a <= z <= limit:
+            raise RewriteError(f"edits overlap or leave the text in {path}")
+        pieces += [text[z:limit], e["new_text"]]
+        limit = a
+    return "".join([text[:limit], *reversed(pieces)])
 
 
 def inverted(edits: DataFrame) -> DataFrame:

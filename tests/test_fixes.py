@@ -32,3 +32,17 @@ def test_unused_counts_lines(spark):
     files = spark.createDataFrame([("a.ts", text, "typescript")], "path string, content string, language string")
     found = symbols.unused(symbols.symbols(files), symbols.identifiers(files))
     assert {(r.name, r.start_line) for r in found.collect()} >= {("alone", 2)} and "used" not in {r.name for r in found.collect()}
+
+
+def test_edits_are_worked_in_small_portions(spark):
+    import pyarrow as pa
+
+    rows = [(str(i), "the a\nthe the " * (i % 7) + "x" * (i * 100)) for i in range(60)] + [("none", None), ("empty", "")]
+    files = spark.createDataFrame(rows, "path string, content string")
+    edits = rewrite.rename_edits(files, "the", "der")
+    assert dict(map(tuple, rewrite.apply_edits(files, edits).collect())) == {p: t and t.replace("the", "der") for p, t in rows}
+    assert dict(map(tuple, rewrite.apply_edits(rewrite.apply_edits(files, edits), rewrite.inverted(edits)).collect())) == dict(rows)
+    batch = pa.RecordBatch.from_pydict({"content": [t for _, t in rows], "_e": [[{"a": 1}] * 5 if t else None for _, t in rows]})
+    cut = list(rewrite.portions(batch, "content", 10_000))
+    assert pa.Table.from_batches(cut).to_pylist() == batch.to_pylist() and len(cut) > 10
+    assert all(b.num_rows == 1 or b.nbytes < 30_000 for b in cut)
