@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalar as s
+from ..lineage import cut, parts
 from .lines import to_lines
 
+# Words whose weights semantic search sends to all tasks; it only decides where work is done.
+FREQUENT_WORDS = 200_000
+
 # code points that are no characters, so no text has them
 _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 
@@ -181,13 +185,18 @@ def semantic(files: DataFrame, text: str, limit: int = 100, content: str = "cont
     """(key, score) of the files most like `text`: cosine of term frequency times inverse document frequency, ln((1 + files) / (1 + files with it)) + 1.
 
     Words are runs of ASCII letters and digits in lower case.  Counts are taken
-    over all files; only files with a word of the text get past the last join.
+    over all files.  Texts are dealt by key, so words are counted where they are;
+    the weights of the `FREQUENT_WORDS` most frequent words are sent to them, and
+    only the other words of each file are shuffled.
     """
     word = r"[a-z0-9]+"
-    counted = files.select(key, F.explode(F.regexp_extract_all(F.lower(content), F.lit(word), 0)).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
+    dealt = files.select(key, F.lower(content).alias("_c")).repartition(parts(files.sparkSession), key)
+    counted = dealt.select(key, F.explode(F.regexp_extract_all("_c", F.lit(word), 0)).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
     total = files.agg(F.count("*").alias("files"))
-    idf = counted.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("w", (F.log((F.col("files") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighed = counted.join(idf, "w").withColumn("x", F.col("n") * F.col("idf"))
+    df = cut(counted.groupBy("w").agg(F.count("*").alias("df")))
+    idf = df.crossJoin(F.broadcast(total)).select("w", "df", (F.log((F.col("files") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    frequent = idf.orderBy(F.desc("df"), "w").limit(FREQUENT_WORDS).drop("df")
+    idf = idf.drop("df")
     asked: dict[str, int] = {}
     for w in re.findall(word, text.lower()):
         asked[w] = asked.get(w, 0) + 1
@@ -196,7 +205,11 @@ def semantic(files: DataFrame, text: str, limit: int = 100, content: str = "cont
     times = F.element_at(F.create_map(*[F.lit(v) for kv in asked.items() for v in kv]), F.col("w"))
     own = F.col("w").isin(*asked)
     q = idf.where(own).agg(F.sqrt(F.sum(F.pow(times * F.col("idf"), 2))).alias("q"))
-    dots = weighed.groupBy(key).agg(
-        F.sum(F.when(own, F.col("x") * times * F.col("idf"))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")
-    ).where("dot is not null")
+    near = counted.join(F.broadcast(cut(frequent)), "w", "left")
+    rare = near.where("idf is null").drop("idf").join(idf, "w")
+    sums = [
+        some.withColumn("x", F.col("n") * F.col("idf")).groupBy(key).agg(F.sum(F.when(own, F.col("x") * times * F.col("idf"))).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("square"))
+        for some in (near.where("idf is not null"), rare)
+    ]
+    dots = sums[0].unionByName(sums[1]).groupBy(key).agg(F.sum("dot").alias("dot"), F.sqrt(F.sum("square")).alias("norm")).where("dot is not null")
     return dots.crossJoin(F.broadcast(q)).select(key, (F.col("dot") / F.col("norm") / F.col("q")).alias("score")).orderBy(F.desc("score"), key).limit(limit)

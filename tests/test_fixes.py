@@ -46,3 +46,22 @@ def test_edits_are_worked_in_small_portions(spark):
     cut = list(rewrite.portions(batch, "content", 10_000))
     assert pa.Table.from_batches(cut).to_pylist() == batch.to_pylist() and len(cut) > 10
     assert all(b.num_rows == 1 or b.nbytes < 30_000 for b in cut)
+
+
+@pytest.mark.parametrize("frequent", [1, 4, 1000])
+def test_semantic_scores_do_not_depend_on_what_is_sent_to_all(spark, monkeypatch, frequent):
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(textsearch, "FREQUENT_WORDS", frequent)
+    # key 3 has two rows, which are one file; key 5 has no words
+    rows = [(1, "the license the law"), (2, "a law of the land"), (3, "under license"), (3, "Under the tree"), (4, "rare words only"), (5, None)]
+    words = {}
+    for k, t in rows:
+        words.setdefault(k, Counter()).update((t or "").lower().split())
+    idf = {w: math.log((len(rows) + 1) / (sum(w in c for c in words.values()) + 1)) + 1 for c in words.values() for w in c}
+    norm = lambda c: math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
+    asked = Counter({"license": 2, "under": 1, "the": 1})
+    want = {k: sum(n * idf[w] ** 2 * asked[w] for w, n in c.items()) / norm(c) / norm(asked) for k, c in words.items() if set(c) & set(asked)}
+    got = textsearch.semantic(spark.createDataFrame(rows, "doc_id long, text string"), "license under the License", 99, "text", "doc_id")
+    assert {r.doc_id: r.score for r in got.collect()} == pytest.approx(want)
